@@ -5,9 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, langid, url_vocab
-from tessella.llm.common import table
+from tessella.llm import decontaminate, edit_counts, html_consensus, langid, pfor_output, sentencepiece_scan, url_vocab
+from tessella.llm.common import shared_dir, table, tokenizer_file
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    return sentencepiece_scan.digests(sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model), model))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +32,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filters, op5_benchmark_decontamination, op8_language_id)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return edit_counts.count(docs.withColumn("edits", edit_counts.trial_edits(F.col("text"))), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    files = pfor_output.write(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), folder)
+    return pfor_output.read(spark, folder, files, digest=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op4_url_filters, op5_benchmark_decontamination, op8_language_id, op9_token_counts, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_vocab.oracle(), "op5_benchmark_decontamination": decontaminate.ORACLE}
