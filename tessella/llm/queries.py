@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, edit_counts, html_consensus, jaccard_join, langid, pfor_output, sentencepiece_scan, url_vocab
+from tessella.llm import decontaminate, edit_counts, hnsw_dedup, html_consensus, jaccard_join, langid, pfor_output, sentencepiece_scan, url_vocab
 from tessella.llm.common import shared_dir, table, tokenizer_file
 
 
@@ -32,6 +32,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_output.read(spark, folder, files, digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op4_url_filters, op5_benchmark_decontamination, op6_ngram_jaccard, op8_language_id, op9_token_counts, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_vocab.oracle(), "op5_benchmark_decontamination": decontaminate.ORACLE, "op6_ngram_jaccard": jaccard_join.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op4_url_filters, op5_benchmark_decontamination, op6_ngram_jaccard, op7_embedding_dedup, op8_language_id, op9_token_counts, op10_token_output)}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_vocab.oracle(), "op5_benchmark_decontamination": decontaminate.ORACLE, "op6_ngram_jaccard": jaccard_join.ORACLE, "op7_embedding_dedup": hnsw_dedup.ORACLE}
