@@ -39,6 +39,8 @@ LEAST_ROWS, MOST_ROWS = 256, 4096
 NEAR, BACK, FAR = 12, 6, 2
 CANDIDATES = 24
 BEAM, UPPER_BEAM = 48, 8
+#: A beam that would be wider than this is as wide as the shard: comparing with all of it costs less.
+WIDEST = 192
 BLOCK = 1024
 #: Queries of an audit, and the share of their true links that must have been found.
 AUDIT, RECALL = 128, 0.99
@@ -70,15 +72,21 @@ def neighbours(u: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         near[lo : lo + BLOCK], sims[lo : lo + BLOCK] = np.take_along_axis(part, order, axis=1), np.take_along_axis(own, order, axis=1)
     count = np.zeros(n, dtype=np.int64)
     closest = np.full((n, k), -2, dtype=np.float32)  # of each candidate to a link taken before
+    passed = np.ones((n, k), dtype=bool)
     for r in range(k):
         take = np.flatnonzero((count < NEAR) & (closest[:, r] < sims[:, r]))
         out[take, count[take]] = near[take, r]
         count[take] += 1
+        passed[take, r] = False
         if r + 1 < k and len(take):
             for lo in range(0, len(take), BLOCK):
                 t = take[lo : lo + BLOCK]
                 to = np.einsum("ad,akd->ak", u[near[t, r]], u[near[t, r + 1 :]])
                 closest[t, r + 1 :] = np.maximum(closest[t, r + 1 :], to)
+    for r in range(k):  # places left go to the nearest that were passed over, which hold a cluster together
+        take = np.flatnonzero((count < NEAR) & passed[:, r])
+        out[take, count[take]] = near[take, r]
+        count[take] += 1
     a, slot = np.nonzero(out[:, :NEAR] >= 0)
     b = out[a, slot]
     order = np.lexsort((a, b))
@@ -161,7 +169,7 @@ def hits(graph: Graph, q: np.ndarray, seed: int, stats: dict | None = None) -> t
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64),) * 2
 
     while True:
-        if beam >= n:
+        if beam >= min(n, WIDEST + 1):
             return exact(np.arange(len(q)))
         found, wide = [], []
         for lo in range(0, len(q), BLOCK):
