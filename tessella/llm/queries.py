@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, edit_counts, hnsw_dedup, html_consensus, jaccard_join, langid, pfor_output, sentencepiece_scan, url_vocab
+from tessella.llm import decontaminate, edit_counts, hnsw_dedup, html_consensus, jaccard_join, label_shards, langid, pfor_output, sentencepiece_scan, url_vocab
 from tessella.llm.common import shared_dir, table, tokenizer_file
 
 
@@ -20,6 +20,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_shards.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_vocab.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -51,5 +55,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor_output.read(spark, folder, files, digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op4_url_filters, op5_benchmark_decontamination, op6_ngram_jaccard, op7_embedding_dedup, op8_language_id, op9_token_counts, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_html_extraction, op3_sharding, op4_url_filters, op5_benchmark_decontamination, op6_ngram_jaccard, op7_embedding_dedup, op8_language_id, op9_token_counts, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": url_vocab.oracle(), "op5_benchmark_decontamination": decontaminate.ORACLE, "op6_ngram_jaccard": jaccard_join.ORACLE, "op7_embedding_dedup": hnsw_dedup.ORACLE}
