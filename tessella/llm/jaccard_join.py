@@ -12,8 +12,8 @@ each (their prefixes, under one global order); how deep depends on both sizes.
    token asks) and the bounds tell which groups might hold a partner. Only those are opened and verified.
 5. Links of both rounds are united to components.
 
-Verification counts the sets' common shingles. Sets are computed again from the texts for the documents in question,
-picked by a bitmap of fixed size.
+Verification first counts what the prefixes have in common, which rules out chance meetings, then the sets' common
+shingles. Sets are computed again from the texts for the documents in question, picked by a bitmap of fixed size.
 
 Defined results
 ---------------
@@ -197,34 +197,44 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for part in common.slices(iter([batch]), "text"):
                 yield pa.record_batch([part.column("id"), long_lists(work.sets(_bytes(part)))], names=["id", "tokens"])
 
-    return own.select("id", "text", "p").mapInArrow(run, "id long, tokens array<long>").join(ids, "id", "left_semi")
+    return own.select("id", "text", "p").mapInArrow(run, "id long, tokens array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = common.cut(sets_of(docs, ids))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    common_ = F.size(F.array_intersect("x", "y"))
-    return both.where(PARTS * common_ >= LEAST * (F.size("x") + F.size("y") - common_)).select("a", "b")
+def shared_in_prefixes(n: Column, m: Column) -> Column:
+    """Tokens that the prefixes of linked sets of these sizes have in common at least: those the rest of either can't hold."""
+    size = lambda k: k - F.ceil(LEAST * k / PARTS) + 1
+    return F.least(need(n, m) - n + size(n), need(n, m) - m + size(m))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets reach the threshold. Their prefixes, a tenth of the sets, rule out most others."""
+    x, y = classes.alias("x"), classes.alias("y")
+    near = pairs.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b"))
+    near = common.cut(near.where(F.size(F.array_intersect("x.prefix", "y.prefix")) >= shared_in_prefixes(F.col("x.n"), F.col("y.n"))).select("a", "b"))
+    sets = sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    x, y = sets.alias("x"), sets.alias("y")
+    both = near.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b"))
+    same = F.size(F.array_intersect("x.tokens", "y.tokens"))
+    return both.where(PARTS * same >= LEAST * (F.size("x.tokens") + F.size("y.tokens") - same)).select("a", "b")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     every = common.cut(prefixes(own, sketch(own)))
-    classes = every.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = classes.where("id is not null").select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    leaders = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "id", "n")).alias("l")).where("c > 1").select("token", F.col("l.id").alias("lid"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
-    rows = common.cut(rows.join(leaders, "token"))  # of tokens that more than one document has
+    classes = common.cut(every.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    rows = classes.where("id is not null").select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    rows = common.cut(rows.join(met, "token"))  # of tokens that more than one document has
+    sized = classes.select("id", "n", "prefix")
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    near = common.cut(rows.where((F.col("id") != F.col("lid")) & may_link(F.col("n"), F.col("pos"), F.col("ln"), F.col("lpos"))).select(*pair(F.col("id"), F.col("lid"))).distinct())
-    links = common.cut(verified(near, own))
+    leaders = rows.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("l")).select("token", F.col("l.id").alias("lid"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
+    near = common.cut(rows.join(leaders, "token").where((F.col("id") != F.col("lid")) & may_link(F.col("n"), F.col("pos"), F.col("ln"), F.col("lpos"))).select(*pair(F.col("id"), F.col("lid"))).distinct())
+    links = common.cut(verified(near, sized, own))
     groups = components(links)
 
-    grouped = common.cut(rows.select("token", "id", "n", "pos").join(groups.select("id", "component"), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component"))
+    grouped = rows.join(groups.select("id", "component"), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
     cells = grouped.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first"))
     split = cells.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("size", "grp")).alias("top")).where("c > 1").select("token", F.col("top.grp").alias("top"))
     cells = common.cut(cells.join(split, "token"))  # of tokens in more than one group
@@ -234,7 +244,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     fits = (low <= F.col("high")) & (PARTS * F.col("qn") >= LEAST * low) & (F.col("q_pos") <= F.col("qn") - need(F.col("qn"), low)) & (F.col("first") <= F.col("high") - need(F.col("qn"), F.col("high")))
     open_ = asking.join(cells.select("token", "grp", "low", "high", "first"), "token").where((F.col("grp") != F.col("q_grp")) & fits).select("token", "grp", "q", "qn", "q_pos")
     met = open_.join(grouped.select("token", "grp", "id", "n", "pos"), ["token", "grp"]).where(may_link(F.col("qn"), F.col("q_pos"), F.col("n"), F.col("pos"))).select(*pair(F.col("q"), F.col("id"))).distinct()
-    more = verified(common.cut(met.join(near, ["a", "b"], "left_anti")), own)
+    more = verified(common.cut(met.join(near, ["a", "b"], "left_anti")), sized, own)
     found = components(links.unionByName(more))
 
     named = classes.select("sig", "id").join(found.select("id", "component"), "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
