@@ -79,3 +79,26 @@ def frame_dump(frames: DataFrame) -> DataFrame:
 
     named = frames.withColumn("to", F.concat(paths.stem(F.col("path")), F.lit("/"), paths.frame_path(F.coalesce("cel", F.lit(0)), F.col("loop"), F.col("mirror_of"))))
     return named.mapInPandas(run, "path string, content binary")
+
+
+def picture_images(pictures: DataFrame) -> DataFrame:
+    """(path, content): the PNG of each decoded picture (path, width, height, pixels, palette as hex)."""
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                colors = bytes.fromhex(r.palette)
+                out.append(png.write(int(r.width), int(r.height), b"".join(colors[3 * p : 3 * p + 3] + b"\xff" for p in bytes(r.pixels))))
+            yield pd.DataFrame({"path": part["path"], "content": out})
+
+    return pictures.select(F.concat(paths.stem(F.col("path")), F.lit(".png")).alias("path"), "width", "height", "pixels", "palette").mapInPandas(run, "path string, content binary")
+
+
+def image_structs(pixels: DataFrame) -> DataFrame:
+    """(path, image): pixels (path, x, y, argb) as Spark's image struct, four channels, BGRA."""
+    own = F.col("argb")
+    part = lambda shift: F.lpad(F.hex(F.shiftright(own, shift).bitwiseAND(255).cast("long")), 2, "0")
+    data = F.unhex(binary.joined(F.struct("y", "x"), F.concat(part(0), part(8), part(16), part(24))))
+    made = pixels.groupBy("path").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), data.alias("data"))
+    return made.select("path", F.struct(F.col("path").alias("origin"), F.col("h").alias("height"), F.col("w").alias("width"), F.lit(4).alias("nChannels"), F.lit(24).alias("mode"), "data").alias("image"))
