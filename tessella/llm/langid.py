@@ -35,7 +35,8 @@ SNIPPET = 240
 EPOCHS = 4
 #: The threshold under which at most this share of calibration texts falls that were recognised rightly.
 CLEAN_LOSS = 0.001
-MOST_THRESHOLD = 0.5
+#: And a threshold is at most this much over what guessing gives: only texts of no language stand out so little.
+OVER_GUESSING = 0.1
 HELD_OUT = 2
 UNKNOWN = "und"
 
@@ -176,7 +177,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 8) -> Model:
     p = softmax(raw / model.temperature)
     right = np.sort(p.max(axis=1)[(p.argmax(axis=1) == truth) & (count > 0)])
     if len(right):
-        model.threshold = float(min(MOST_THRESHOLD, right[int(CLEAN_LOSS * len(right))]))
+        model.threshold = float(min(1 / len(langs) + OVER_GUESSING, right[int(CLEAN_LOSS * len(right))]))
     return model
 
 
