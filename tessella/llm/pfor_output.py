@@ -24,6 +24,7 @@ never read. Readers check every document's checksum. The folder lies below ``spa
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,8 +43,12 @@ MAGIC = b"PFR1"
 HEAD = struct.Struct("<HBBIHH")
 FOOT = struct.Struct("<QQQQ4s")
 END_ID = 1
-#: Words whose ids a worker remembers.
-CACHE = 200_000
+#: Words and letter runs whose ids a worker remembers.
+CACHE, RUNS = 300_000, 600_000
+#: Letter runs encoded in one call.
+CALL = 500
+#: Letters whose lower case depends on nothing else, and marks that the tokenizer splits from them.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:&*#$%]*)")
 #: Bytes of text that go into one file.
 FILE_BYTES = 64 << 20
 
@@ -225,33 +230,85 @@ class Reader:
 
 
 class WordEncoder:
-    """Ids of texts as bytes. The tokenizer never joins what ASCII white space parts, so words are encoded once and remembered."""
+    """Ids of texts as bytes. The tokenizer never joins what ASCII white space parts, so words are encoded once and remembered.
+
+    A new word of plain letters and marks is two pre-tokens, found by themselves: "Then," and "then" share a letter run.
+    New letter runs go to the tokenizer many to a call, parted by spaces; ids that end a pre-token tell them apart again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        for piece, i in vocabulary.items():
+            self.ends[i] = piece.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def add_runs(self, new: list[str]) -> None:
+        for lo in range(0, len(new), CALL):
+            part = new[lo : lo + CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(stops) != len(part):  # a vocabulary without ends of words
+                self.runs.update(zip(part, self.direct(part), strict=True))
+                continue
+            data, at = ids.tobytes(), 0
+            for run, stop in zip(part, stops.tolist(), strict=True):
+                self.runs[run] = data[4 * at : 4 * stop]
+                at = stop
+
+    def add(self, new: list[bytes]) -> None:
+        if len(self.runs) > RUNS:
+            self.runs.clear()
+        runs = self.runs
+        others, parts = [], []
+        for w in new:
+            text = w.decode("utf-8")
+            if (m := SIMPLE.fullmatch(text)) is None:
+                others.append((w, text))
+            else:
+                parts.append((w, m[1].lower(), m[2]))
+        self.add_runs(list({run for _, run, _ in parts}.difference(runs)))
+        marks = list({mark for _, _, mark in parts}.difference(runs))
+        runs.update(zip(marks, self.direct(marks), strict=True))
+        for w, run, mark in parts:
+            self.known[w] = runs[run] + runs[mark] if mark else runs[run]
+        for lo in range(0, len(others), 4096):
+            some = others[lo : lo + 4096]
+            self.known.update(zip([w for w, _ in some], self.direct([t for _, t in some]), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [t.split() if t else [] for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
         known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = [w for w in set().union(*split) if w not in known]
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        if new := set().union(*split).difference(known):
+            self.add(list(new))
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One for each worker process, so that tasks share what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 MANIFEST = pa.schema([("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("low", pa.int64()), ("part", pa.int32())])
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text", file_bytes: int = FILE_BYTES) -> list[tuple[str, int, int]]:
     """Writes the files and returns (path, ids in it, ids before it) of each, in order. One shuffle, of keys and texts."""
+    common.ready(docs)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     if not total.n:
@@ -270,7 +327,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
                 system.create_dir(root, recursive=True)
                 path = f"{root}/ids-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pfr"
                 sink = system.open_output_stream(path)
-                writer, encoder = Writer(sink), WordEncoder(tokenizer)
+                writer, encoder = Writer(sink), encoder_of(tokenizer)
             for k, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
                 writer.add(k, ids + end)
         if writer is not None:

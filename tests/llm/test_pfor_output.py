@@ -58,3 +58,17 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     folder = common.shared_dir(spark)
     assert po.read(spark, folder, po.write(docs, common.tokenizer_file("word_bpe_49k.json"), folder), digest=True).count() == 0
+
+
+def test_words_equal_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_file("word_bpe_49k.json")
+    t, encoder = Tokenizer.from_file(path), po.WordEncoder(path)
+    rng = random.Random(4)
+    letters = "abcxyzABCXYZéÉüÜßøÿÀÿµªº×sStT" + "'.,!?;:&*#$%-_1٣ΣςİжЖ日\u0301"
+    for _ in range(150):
+        text = "".join(rng.choice(letters + "      \n\t\xa0") for _ in range(300))
+        assert encoder.encode([text.encode()])[0] == struct.pack(f"<{len(ids := t.encode(text, add_special_tokens=False).ids)}I", *ids)
