@@ -50,7 +50,7 @@ def by_shard(shard: Column, values: list[int]) -> Column:
 
 
 def propagate(vertices: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """``vertices`` (grp, start, salt, n, shard) with other shards."""
+    """``vertices`` (grp, start, salt, n, shard, ...) with other shards."""
     shards = len(quota)
     for k in range(rounds):
         load = [0] * shards
@@ -72,7 +72,7 @@ def propagate(vertices: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Da
         before = F.sum("n").over(Window.partitionBy("to").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         admitted = sums.withColumn("upto", before).where(F.col("upto") <= by_shard(F.col("to"), room)).select("to", "bucket")
         moved = moves.join(F.broadcast(admitted), ["to", "bucket"]).select("grp", "start", "salt", "to")  # at most shards * BUCKETS rows
-        vertices = cut(vertices.join(moved, ["grp", "start", "salt"], "left").select("grp", "start", "salt", "n", F.coalesce("to", "shard").alias("shard")))
+        vertices = cut(vertices.join(moved, ["grp", "start", "salt"], "left").select(*[c for c in vertices.columns if c != "shard"], F.coalesce("to", "shard").alias("shard")))
     return vertices
 
 
@@ -101,8 +101,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     parts = own.where("grp is not null").groupBy("grp", "start", "salt").agg(F.count(F.lit(1)).alias("n"))
     groups = parts.groupBy("grp").agg(F.sum("n").alias("group_size")).where("group_size > 1")
     linked = cut(parts.join(groups, "grp"))
-    placed = propagate(linked.select("grp", "start", "salt", "n", F.col("start").alias("shard")), quota, rounds)
-    own = cut(own.join(placed.select("grp", "start", "salt", "shard"), ["grp", "start", "salt"], "left").join(groups, "grp", "left"))
+    placed = propagate(linked.withColumn("shard", F.col("start")), quota, rounds)
+    own = cut(own.join(placed.select("grp", "start", "salt", "shard", "group_size"), ["grp", "start", "salt"], "left"))
 
     buckets = max(1, -(-total // RANKED))
     load = [0] * shards
