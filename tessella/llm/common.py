@@ -15,11 +15,21 @@ from tessella.shipping import ship
 #: Rows of an Arrow batch that are worked on at once; bounds a worker's memory.
 SLICE_ROWS = 512
 #: Bytes of text after which a slice ends earlier.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: What Spark hands over to a worker at once: its settings, by default, and ours.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def ready(df: DataFrame) -> None:
+    """Workers get the package, and batches that bound their memory where the session leaves that to Spark."""
+    spark = df.sparkSession
     ship(spark)
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,8 +63,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[pa.RecordBatch]:
-    """Pieces of at most SLICE_ROWS rows and, beyond one row, SLICE_BYTES of column ``sized``."""
+def slices(batches: Iterator[pa.RecordBatch], sized: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most SLICE_ROWS rows and, beyond one row, ``most`` bytes of column ``sized``."""
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -64,7 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[pa.RecordB
         lengths = pc.fill_null(pc.binary_length(batch.column(sized)), 0).to_pylist()
         lo = size = 0
         for i, k in enumerate(lengths):
-            if i > lo and (i - lo >= SLICE_ROWS or size + k > SLICE_BYTES):
+            if i > lo and (i - lo >= SLICE_ROWS or size + k > most):
                 yield batch.slice(lo, i - lo)
                 lo, size = i, 0
             size += k

@@ -43,12 +43,14 @@ MAGIC = b"PFR1"
 HEAD = struct.Struct("<HBBIHH")
 FOOT = struct.Struct("<QQQQ4s")
 END_ID = 1
-#: Words and letter runs whose ids a worker remembers.
-CACHE, RUNS = 300_000, 600_000
+#: Words whose ids a worker remembers.
+CACHE = 600_000
 #: Letter runs encoded in one call.
 CALL = 500
-#: Letters whose lower case depends on nothing else, and marks that the tokenizer splits from them.
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:&*#$%]*)")
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Marks between a plain letter and white space: the tokenizer splits them from the letters.
+MARKS = re.compile(rb"([.,!?;:&*#$%](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:&*#$%]*)(?=[ \t\n\r\x0b\x0c]|\Z)")
+
 #: Bytes of text that go into one file.
 FILE_BYTES = 64 << 20
 
@@ -232,8 +234,9 @@ class Reader:
 class WordEncoder:
     """Ids of texts as bytes. The tokenizer never joins what ASCII white space parts, so words are encoded once and remembered.
 
-    A new word of plain letters and marks is two pre-tokens, found by themselves: "Then," and "then" share a letter run.
-    New letter runs go to the tokenizer many to a call, parted by spaces; ids that end a pre-token tell them apart again."""
+    To have fewer different words, A-Z are lower-cased beforehand, as the tokenizer does (but not in texts with combining
+    marks, where composing comes first, or with what may be a special token, which has but one spelling), and marks at the end of a word are parted from it, as its pre-tokens are. New
+    letter runs go to the tokenizer many to a call, parted by spaces; ids that end a pre-token tell them apart again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -245,46 +248,38 @@ class WordEncoder:
         for piece, i in vocabulary.items():
             self.ends[i] = piece.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def add_runs(self, new: list[str]) -> None:
-        for lo in range(0, len(new), CALL):
-            part = new[lo : lo + CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def add(self, new: list[bytes]) -> None:
+        texts = [w.decode("utf-8") for w in new]
+        runs = [(w, t) for w, t in zip(new, texts, strict=True) if t.isalpha()]
+        others = [(w, t) for w, t in zip(new, texts, strict=True) if not t.isalpha()]
+        for lo in range(0, len(runs), CALL):
+            part = runs[lo : lo + CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-            if len(stops) != len(part):  # a vocabulary without ends of words
-                self.runs.update(zip(part, self.direct(part), strict=True))
+            if len(stops) != len(part):  # a letter whose lower case is none, or a vocabulary without ends of words
+                others += part
                 continue
             data, at = ids.tobytes(), 0
-            for run, stop in zip(part, stops.tolist(), strict=True):
-                self.runs[run] = data[4 * at : 4 * stop]
+            for (w, _), stop in zip(part, (4 * stops).tolist(), strict=True):
+                self.known[w] = data[at:stop]
                 at = stop
-
-    def add(self, new: list[bytes]) -> None:
-        if len(self.runs) > RUNS:
-            self.runs.clear()
-        runs = self.runs
-        others, parts = [], []
-        for w in new:
-            text = w.decode("utf-8")
-            if (m := SIMPLE.fullmatch(text)) is None:
-                others.append((w, text))
-            else:
-                parts.append((w, m[1].lower(), m[2]))
-        self.add_runs(list({run for _, run, _ in parts}.difference(runs)))
-        marks = list({mark for _, _, mark in parts}.difference(runs))
-        runs.update(zip(marks, self.direct(marks), strict=True))
-        for w, run, mark in parts:
-            self.known[w] = runs[run] + runs[mark] if mark else runs[run]
         for lo in range(0, len(others), 4096):
             some = others[lo : lo + 4096]
             self.known.update(zip([w for w, _ in some], self.direct([t for _, t in some]), strict=True))
 
+    def words(self, text: bytes | None) -> list[bytes]:
+        if not text:
+            return []
+        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
+            text = text.translate(LOWER)
+        return MARKS.sub(rb" \1 ", text).split()
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
+        split = [self.words(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known

@@ -68,7 +68,9 @@ def test_words_equal_whole_texts():
     path = common.tokenizer_file("word_bpe_49k.json")
     t, encoder = Tokenizer.from_file(path), po.WordEncoder(path)
     rng = random.Random(4)
-    letters = "abcxyzABCXYZéÉüÜßøÿÀÿµªº×sStT" + "'.,!?;:&*#$%-_1٣ΣςİжЖ日\u0301"
-    for _ in range(150):
-        text = "".join(rng.choice(letters + "      \n\t\xa0") for _ in range(300))
+    letters = "ahHJTWYbcxyzABCXYZéÉüÜßøÿÀÿµªº×sStT" + "'.,!?;:&*#$%-_1٣ΣςİжЖ日İ…\u0301\u0331"
+    fixed = "Ab <|ENDOFTEXT|> <|endoftext|>x, <|StartOfText|>. Y!"
+    assert encoder.encode([fixed.encode()])[0] == struct.pack(f"<{len(ids := t.encode(fixed, add_special_tokens=False).ids)}I", *ids)
+    for k in range(300):
+        text = "".join(rng.choice(letters if k % 2 else letters[:-2] + "      \n\t\xa0") for _ in range(300))
         assert encoder.encode([text.encode()])[0] == struct.pack(f"<{len(ids := t.encode(text, add_special_tokens=False).ids)}I", *ids)
