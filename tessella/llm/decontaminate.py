@@ -159,6 +159,7 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, b
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items) of each row: merged word spans that occur in items, and those items."""
+    common.ready(docs)
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     passes = [own.mapInArrow(_scanner(sc.broadcast(b)), RESULT_DDL) for b in blocks(benchmark, block_bytes)]
@@ -189,6 +190,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """``docs`` without its contaminated documents, in its own columns; one pass without a shuffle for each block of the benchmark.
 
     With several blocks a document's hits are summed over all of them first, and contaminated rows leave by an anti-join of keys."""
+    common.ready(docs)
     sc = docs.sparkSession.sparkContext
     parts = blocks(benchmark, block_bytes)
     first = next(parts)

@@ -184,6 +184,7 @@ def attach(docs: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def count(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
     """(doc_id, n_tokens_before, n_tokens, n_pretokens, n_reencoded, n_chars) of each row; one pass, no shuffle."""
+    common.ready(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):

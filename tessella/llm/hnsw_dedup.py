@@ -263,6 +263,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", shard_rows: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
+    common.ready(vectors)
     emb = F.col(embedding).cast("array<double>")
     own = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), emb.alias("emb"))
     sound = F.col("label").isNotNull() & F.col("emb").isNotNull() & F.forall("emb", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("emb", lambda v: v != 0)

@@ -269,6 +269,7 @@ def winners(pages: DataFrame) -> DataFrame:
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most_hosts: int = MOST_HOSTS) -> DataFrame:
     """(key, url, text, n_chars) of each row."""
+    common.ready(pages)
     own = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")).withColumn("host", host(F.col("url")))
     won = common.cut(winners(own.select("host", "html")))
     kind = own.schema["key"].dataType.simpleString()

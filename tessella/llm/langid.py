@@ -38,6 +38,8 @@ CLEAN_LOSS = 0.001
 #: And a threshold is at most this much over what guessing gives: only texts of no language stand out so little.
 OVER_GUESSING = 0.1
 HELD_OUT = 2
+#: Bytes of text whose subwords are held at once.
+WORK_BYTES = 256 << 10
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -202,11 +204,12 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pre
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of each row; one pass, no shuffle."""
+    common.ready(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logits, model.bias, model.temperature, model.threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", WORK_BYTES):
             own = own or Model(*shared.value)
             rows = own.predict(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.bool_())], schema=SCHEMA)
@@ -221,12 +224,13 @@ def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without rejected documents, in its own columns; one pass, no shuffle."""
+    common.ready(docs)
     model = fit(sample(docs, key, text, lang))
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logits, model.bias, model.temperature, model.threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, text, WORK_BYTES):
             own = own or Model(*shared.value)
             yield batch.filter(pa.array([not r[2] for r in own.predict(batch.column(text).to_pylist())], pa.bool_()))
 

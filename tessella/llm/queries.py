@@ -13,7 +13,7 @@ from tessella.llm.common import shared_dir, table, tokenizer_file
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
-    return sentencepiece_scan.digests(sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model), model))
+    return sentencepiece_scan.digests(sentencepiece_scan.round_trip(table(spark, sf_dir, "documents"), model))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,20 +233,27 @@ def prepared(text: str | None) -> str:
     return " " + text.replace(SPACE, " ") if text else ""
 
 
-WHOLE = "__row long, doc_id long, n_chunks int, ids binary"
-PART = "__row long, doc_id long, k int, n int, lo long, a long, b long, text string"
+WHOLE = "doc_id long, n_chunks int, ids binary"
+#: A giant document goes by two hashes of its key and text, so that its chunks are the same whenever they are made again.
+KEY = ("h1", "h2")
+PART = "h1 long, h2 long, k int, n int, lo long, a long, b long, text string"
 
 
-def _whole(path: str):
+def _whole(path: str, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             ids = pieces(path).encode([prepared(t) for t in batch.column("text").to_pylist()])
-            yield pa.record_batch([batch.column("__row"), batch.column("doc_id"), pa.array([1] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["__row", "doc_id", "n_chunks", "ids"])
+            columns = {"doc_id": batch.column("doc_id"), "n_chunks": pa.array([1] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())}
+            if back:
+                columns["decoded"] = pa.array([pieces(path).decode(x) for x in ids], pa.string())
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run
 
 
 def _cut(chunk: int, margin: int):
+    schema = pa.schema([(c, pa.int64()) for c in KEY] + [("k", pa.int32()), ("n", pa.int32()), ("lo", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("text", pa.string())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             for r in batch.to_pylist():
@@ -254,19 +261,19 @@ def _cut(chunk: int, margin: int):
                 at = cuts(len(t), chunk)
                 for k in range(len(at) - 1):
                     lo = max(0, at[k] - margin)
-                    yield pa.RecordBatch.from_pylist([{"__row": r["__row"], "doc_id": r["doc_id"], "k": k, "n": len(at) - 1, "lo": lo, "a": at[k], "b": at[k + 1], "text": t[lo : at[k + 1] + margin]}], schema=pa.schema([("__row", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("n", pa.int32()), ("lo", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("text", pa.string())]))
+                    yield pa.RecordBatch.from_pylist([{**{c: r[c] for c in KEY}, "k": k, "n": len(at) - 1, "lo": lo, "a": at[k], "b": at[k + 1], "text": t[lo : at[k + 1] + margin]}], schema=schema)
 
     return run
 
 
 def _matrices(path: str):
-    schema = pa.schema([("__row", pa.int64()), ("k", pa.int32()), ("n_left", pa.int32()), ("right", pa.list_(pa.int64())), ("matrix", pa.binary())])
+    schema = pa.schema([(c, pa.int64()) for c in KEY] + [("k", pa.int32()), ("n_left", pa.int32()), ("right", pa.list_(pa.int64())), ("matrix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 left, right, m = pieces(path).transfer(r["text"], r["a"] - r["lo"], r["b"] - r["lo"], r["k"] == r["n"] - 1)
-                yield pa.RecordBatch.from_pylist([{"__row": r["__row"], "k": r["k"], "n_left": len(left), "right": [r["lo"] + e for _, e in right], "matrix": m.tobytes()}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{**{c: r[c] for c in KEY}, "k": r["k"], "n_left": len(left), "right": [r["lo"] + e for _, e in right], "matrix": m.tobytes()}], schema=schema)
 
     return run
 
@@ -275,39 +282,48 @@ def _combine(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("k")
     matrices = [np.frombuffer(m, dtype=np.float32).reshape(n, -1) for m, n in zip(part["matrix"], part["n_left"], strict=True)]
     ends = [int(right[j]) for right, j in zip(part["right"], boundaries(matrices), strict=False)]
-    return pd.DataFrame({"__row": part["__row"], "k": part["k"], "from": [0, *ends], "to": [*ends, -1]})
+    return pd.DataFrame({**{c: part[c] for c in KEY}, "k": part["k"], "from": [0, *ends], "to": [*ends, -1]})
 
 
 def _between(path: str):
-    schema = pa.schema([("__row", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int32()), ("ids", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             ids = pieces(path).encode([r["text"][r["from"] - r["lo"] : r["to"] - r["lo"] if r["to"] >= 0 else None] for r in rows])
-            yield pa.record_batch([batch.column("__row"), batch.column("doc_id"), batch.column("k"), pa.array(ids, pa.binary())], schema=schema)
+            yield pa.record_batch([*(batch.column(c) for c in KEY), batch.column("k"), pa.array(ids, pa.binary())], names=[*KEY, "k", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_chunks, ids) of each row. Only giant documents are shuffled, chunk by chunk."""
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, back: bool = False) -> DataFrame:
+    """(doc_id, n_chunks, ids) of each row. Only giant documents are shuffled, chunk by chunk; equal ones are encoded once.
+
+    With ``back`` the ids are decoded too, by the worker that made them where it can."""
+    common.ready(docs)
     margin = pieces(model).longest
     chunk = max(chunk, 4 * margin)
-    own = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     giant = F.coalesce(F.length("text") + 1 >= 2 * chunk, F.lit(False))
-    small = own.where(~giant).mapInArrow(_whole(model), WHOLE)
-    parts = own.where(giant).mapInArrow(_cut(chunk, margin), PART).repartition("__row", "k")
-    matrices = parts.mapInArrow(_matrices(model), "__row long, k int, n_left int, right array<long>, matrix binary")
-    spans = matrices.groupBy("__row").applyInPandas(_combine, "__row long, k int, from long, to long")
-    coded = parts.join(spans, ["__row", "k"]).mapInArrow(_between(model), "__row long, doc_id long, k int, ids binary")
-    joined = coded.groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).cast("int").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("k", F.hex("ids").alias("x")))).alias("parts"))
-    large = joined.select("__row", "doc_id", "n_chunks", F.unhex(F.array_join(F.col("parts.x"), "")).alias("ids"))
-    return small.unionByName(large).select("doc_id", "n_chunks", "ids")
+    small = own.where(~giant).mapInArrow(_whole(model, back), WHOLE + ", decoded string" * back)
+    large = own.where(giant).select("doc_id", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("h2"), "text")
+    parts = large.select(*KEY, "text").mapInArrow(_cut(chunk, margin), PART).dropDuplicates([*KEY, "k"])
+    matrices = parts.mapInArrow(_matrices(model), "h1 long, h2 long, k int, n_left int, right array<long>, matrix binary")
+    spans = matrices.groupBy(*KEY).applyInPandas(_combine, "h1 long, h2 long, k int, from long, to long")
+    coded = parts.join(spans, [*KEY, "k"]).mapInArrow(_between(model), "h1 long, h2 long, k int, ids binary")
+    joined = coded.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("k", F.hex("ids").alias("x")))).alias("parts"))
+    whole = joined.select(*KEY, "n_chunks", F.unhex(F.array_join(F.col("parts.x"), "")).alias("ids"))
+    rows = large.select("doc_id", *KEY).join(whole, [*KEY]).select("doc_id", "n_chunks", "ids")
+    return small.unionByName(decode(rows, model) if back else rows)
+
+
+def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_chunks, ids, decoded) of each row."""
+    return encode(docs, model, key, text, chunk, back=True)
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
     """``coded`` with its ``ids`` decoded as ``decoded``; no shuffle."""
+    common.ready(coded)
     names = [c for c in coded.columns if c != "decoded"]
     shape = coded.select(*names).schema
 

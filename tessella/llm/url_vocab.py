@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tessella.llm import common
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: One of these blocks a url.
@@ -75,6 +77,7 @@ def fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Column:
 
 def filter_urls(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, terms: dict[str, int] | None = None, limit: int = LIMIT) -> DataFrame:
     """(key, host, path, rule, verdict, weight) for each row of ``df``. One pass, no shuffle."""
+    common.ready(df)
     terms = weights(limit=limit) if terms is None else terms
     at = F.locate("://", F.col("__url"))
     d = df.select(F.col(key).alias("__key"), F.col(url).cast("string").alias("__url"))

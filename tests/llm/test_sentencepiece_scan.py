@@ -75,3 +75,12 @@ def test_operator(spark, pieces):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sps.digests(sps.decode(sps.encode(docs, MODEL), MODEL)).count() == 0
+
+
+def test_repeated_giants(spark):
+    text = "giant words here " * 300
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
+    got = sps.digests(sps.round_trip(docs, MODEL, chunk=500)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, sps.digests(sps.decode(sps.encode(docs, MODEL, chunk=500), MODEL)).collect()))
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 1, 2]
+    assert {r.text_crc32 for r in got} == {zlib.crc32(text.encode())} and all(r.n_chunks > 5 for r in got)
