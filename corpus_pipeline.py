@@ -26,7 +26,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
-    return sentencepiece_scan.digests(sentencepiece_scan.decode(sentencepiece_scan.encode(docs, model), model))
+    return sentencepiece_scan.digests(sentencepiece_scan.round_trip(docs, model))
 
 
 STAGES = [
