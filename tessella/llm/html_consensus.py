@@ -1,10 +1,11 @@
 """HTML extraction by consensus host paths.
 
-1. Every page is parsed and its containers are scored by the text of the blocks in them, links discounted.
-2. Its best containers vote, by generalised tag-class path (digits in classes do not count), for their host. The votes are
+1. Every page is parsed and its containers are scored by all text in them, links discounted, nested text by a share.
+2. Its best paths vote, by generalised tag-class path (digits in classes do not count), for their host. The votes are
    summed in Spark, with partial sums, so a host of any size costs one row for each path and task.
-3. Every page is extracted again from the container on its host's winning path. A page without one, or where it holds far
-   less than the page's own best container, uses that one instead.
+3. Every page is extracted again from all containers on its host's winning path, widened to the article or main around them,
+   or else to elements of whose text they hold the better part. A page without one, or where they hold far less than the
+   page's own best path, uses that one instead.
 
 Boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) count
 neither as votes nor as text.
@@ -32,16 +33,24 @@ from pyspark.sql import functions as F
 from tessella.llm import common
 
 MOST_HOSTS = 50_000
-#: Containers of a page that vote.
+#: Paths of a page that vote.
 VOTES = 3
-#: A page keeps its own best container if its host's holds less than this share of that one's score.
+#: A page keeps its own best path if its host's holds less than this share of that one's score.
 FAR_LESS = 0.25
 SALTS = 64
+#: What a container scores of each one in it, and what the page's outermost elements do.
+CARRIED, CARRIED_OUT = 0.7, 0.5
+#: A winning path widens to an element around it of whose text it holds so much, and to the whole page from so much on.
+MOST_OF_ELEMENT, MOST_OF_PAGE = 0.5, 0.8
 
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption td th tr address summary".split())
+LISTS = frozenset("ul ol dl table tbody thead figure".split())
+#: The elements that authors put around a page's text, and those around a page.
+STORY = frozenset(["article", "main"])
+OUTER = frozenset(["html", "body"])
 #: A cell is parted from the next by a space, not by a new block.
 CELLS = frozenset(["td", "th"])
 NEVER_TEXT = frozenset("nav footer aside button dialog menu head noscript template svg math select object datalist".split())
@@ -193,57 +202,100 @@ class Page:
 
     # -- containers
 
-    def container(self, at: int) -> int:
-        while at > 0 and (self.tag[at] in PARAGRAPHS or self.tag[at] in ("ul", "ol", "dl", "table", "tbody", "thead", "figure")):
-            at = self.parent[at]
-        return at
-
-    def scores(self) -> dict[int, float]:
-        """Containers by the text of their blocks: all of it for the nearest one, half for the one above."""
-        found: dict[int, float] = {}
+    def weigh(self) -> dict[str, float]:
+        """Scores by path of containers: their own text and a share of what the containers in them score."""
+        n = len(self.tag)
+        held = [0]  # the container of each element: itself, or the one around a paragraph, list, table or inline element
+        for k in range(1, n):
+            held.append(held[self.parent[k]] if self.tag[k] in PARAGRAPHS or self.tag[k] in INLINE or self.tag[k] in LISTS else k)
+        score, below = [0.0] * n, [0.0] * n
         for at, text, linked in self.blocks:
             own = max(0.0, len(text) - 2.0 * linked) * (1.0 if self.tag[at] in PARAGRAPHS else 0.6)
-            if own <= 0:
-                continue
-            at = self.container(at)
-            found[at] = found.get(at, 0.0) + own
-            if at > 0 and self.parent[at] > 0:
-                found[self.container(self.parent[at])] = found.get(self.container(self.parent[at]), 0.0) + own / 2
-        return {k: v * (1.5 if self.tag[k] in ("article", "main") else 1.0) for k, v in found.items()}
-
-    def within(self, at: int, top: int) -> bool:
-        while at > top:
-            at = self.parent[at]
-        return at == top
+            score[held[at]] += own
+            below[held[at]] += own
+        for k in range(n - 1, 0, -1):  # parents come before their children
+            if below[k] > 0:
+                up = held[self.parent[k]]
+                below[up] += below[k]
+                if up > 0:
+                    score[up] += score[k] * (CARRIED_OUT if self.tag[up] in OUTER else CARRIED)
+        self.held, self.below = held, below
+        found: dict[str, float] = {}
+        for k in range(n):
+            if score[k] > 0:
+                found[self.path[k]] = found.get(self.path[k], 0.0) + score[k] * (1.5 if self.tag[k] in STORY else 1.0)
+        return found
+
+    def region(self, path: str) -> set[int]:
+        """The containers on ``path``, each widened to its article, then all of them to what they hold the better part of."""
+        tops = set()
+        for k in range(len(self.tag)):
+            if self.below[k] > 0 and self.path[k] == path:
+                at = k
+                while at > 0 and self.tag[at] not in STORY:
+                    at = self.parent[at]
+                tops.add(at or k)
+        covered = self.covered(tops)
+        tops = {t for t in tops if t == 0 or not covered[self.parent[t]]}
+        own = sum(self.below[t] for t in tops)
+        stories = any(self.tag[t] in STORY for t in tops)
+        up = self.shared(tops)
+        while up >= 0:
+            outer = up == 0 or self.tag[up] in OUTER
+            if outer and stories or own < (MOST_OF_PAGE if outer else MOST_OF_ELEMENT) * self.below[up]:
+                break
+            tops = {up}
+            up = self.held[self.parent[up]] if up else -1
+        return tops
+
+    def shared(self, tops: set[int]) -> int:
+        """The smallest container around all of ``tops``, -1 if there is none."""
+        low = sorted(tops)
+        if len(low) == 1:
+            return self.held[self.parent[low[0]]] if low[0] else -1
+        at = low[0]
+        for other in low[1:]:
+            while at != other:
+                if at > other:
+                    at = self.parent[at]
+                else:
+                    other = self.parent[other]
+        return self.held[at]
 
-    def taken(self, top: int) -> str:
-        return "\n".join(text for at, text, _ in self.blocks if self.within(at, top))
+    def covered(self, tops: set[int]) -> list[bool]:
+        """Whether each element lies in one of ``tops``."""
+        covered = [0 in tops]
+        for k in range(1, len(self.tag)):
+            covered.append(k in tops or covered[self.parent[k]])
+        return covered
 
+    def taken(self, tops: set[int]) -> str:
+        covered = self.covered(tops)
+        return "\n".join(text for at, text, _ in self.blocks if covered[at])
 
-def best(scores: dict[int, float]) -> list[tuple[int, float]]:
-    """Containers from the best; of equals the earlier one."""
-    return sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+
+def best(scores: dict[str, float]) -> list[tuple[str, float]]:
+    """Paths from the best; of equals the earlier one."""
+    return sorted(scores.items(), key=lambda x: -x[1])
 
 
 def ballots(html: str | None) -> list[tuple[str, float]]:
-    """(path, share of the page's score) of its best containers."""
-    page = Page(html)
-    own = best(page.scores())[:VOTES]
+    """(path, share of the page's score) of its best paths."""
+    own = best(Page(html).weigh())[:VOTES]
     total = sum(v for _, v in own)
-    return [(page.path[k], v / total) for k, v in own]
+    return [(path, v / total) for path, v in own]
 
 
 def extract(html: str | None, path: str | None) -> str:
     page = Page(html)
-    own = best(page.scores())
-    if not own:  # some pages lie in a form as a whole
+    scores = page.weigh()
+    if not scores:  # some pages lie in a form as a whole
         page = Page(html, keep_forms=True)
-        own = best(page.scores())
-    if not own:
-        return page.taken(0)
-    match = [x for x in own if page.path[x[0]] == path]
-    top = match[0] if match and match[0][1] >= FAR_LESS * own[0][1] else own[0]
-    return page.taken(top[0])
+        scores = page.weigh()
+    if not scores:
+        return page.taken({0})
+    own, most = best(scores)[0]
+    return page.taken(page.region(path if path is not None and scores.get(path, 0.0) >= FAR_LESS * most else own))
 
 
 def host(url: Column) -> Column:

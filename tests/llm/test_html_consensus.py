@@ -44,3 +44,23 @@ def test_the_host_decides(spark):
 
 def test_empty_table(spark):
     assert hc.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+SHORT, LONGER = "The first section says a little. " * 9, "The second section says much more. " * 90
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (page(f"<article><h1>Head</h1><div class=body><p>{LONGER}</p></div></article>"), f"Head\n{LONGER.strip()}"),
+        (page(f"<article><section>{SHORT}</section><section>{LONGER}</section></article>"), f"{SHORT.strip()}\n{LONGER.strip()}"),
+        (page(f"<div class=post><section class=section-1><p>{SHORT}</p></section><section class=section-2><p>{LONGER}</p></section></div>"), f"{SHORT.strip()}\n{LONGER.strip()}"),
+        (page(f"<div class=post><h1>Head</h1><p>Lead.</p><div class=w><div class=body><p>{LONGER}</p></div></div></div>"), f"Head\nLead.\n{LONGER.strip()}"),
+        (page(f"<div class=post><div class=a><p>{SHORT}</p></div><div class=b><div class=c><p>{LONG}</p></div></div><div class=d><p>{LONG}</p></div></div><div class=rail><p>{LONG}</p></div>"), f"{SHORT.strip()}\n{LONG.strip()}\n{LONG.strip()}"),
+        (page(f"<article><p>{LONGER}</p></article><div>Printed by no one</div>"), LONGER.strip()),
+    ],
+)
+def test_the_whole_article_is_taken(html, want):
+    assert hc.extract(html, None) == want
+    for path, _ in hc.ballots(html)[:1]:
+        assert hc.extract(html, path) == want
