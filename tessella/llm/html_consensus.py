@@ -8,7 +8,8 @@
    page's own best path, uses that one instead.
 
 Boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) count
-neither as votes nor as text.
+neither as votes nor as text. What is one by its class, id or role alone is decided when the page is read: an element around
+main, around the page's only article, or around most of its text stays, and all of them stay if no text were left.
 
 Defined results
 ---------------
@@ -58,6 +59,10 @@ NEVER_TEXT = frozenset("nav footer aside button dialog menu head noscript templa
 BOILERPLATE = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification paywall pager pagination popup promo promoted promotion recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
 #: An article of such a class is not the page's.
 MINOR_ARTICLE = frozenset("comment comments promo related reply respond teaser".split())
+#: Names of what an element has or lacks, or that only sound like a mark.
+NO_MARK = re.compile(r"\b(?:has|have|with|without|no|not)[-_]+[a-z]+|\brelated[-_]+works?\b")
+#: A marked element with this share of a page's text is not its boilerplate.
+MOST_IN_MARK = 0.75
 #: Elements that end an open one of the same kind; any element that is neither inline nor void ends an open p.
 ENDS_ITSELF = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 BARRIERS = frozenset("table ul ol dl div section article main body".split())
@@ -74,14 +79,16 @@ class Page:
     def __init__(self, html: str | None, keep_forms: bool = False):
         self.keep_forms = keep_forms
         self.parent, self.tag, self.path, self.dropped, self.main = [-1], ["#"], [""], [False], [False]
+        self.marked, self.minor = [0], [False]  # the nearest element at or above that is named like boilerplate
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
-        self.run: list[str] = []
-        self.linked = 0
+        self.runs: list[tuple[int, list[tuple[str, int, bool]]]] = []  # element; texts, their marks, whether in a link
+        self.run: list[tuple[str, int, bool]] = []
         self.at = 0  # the open element
         self.links = 0
         if html:
             self.parse(html)
         self.flush()
+        self.settle()
 
     def parse(self, html: str) -> None:
         pos, n = 0, len(html)
@@ -126,24 +133,72 @@ class Page:
     def text(self, s: str) -> None:
         if s and not self.dropped[self.at]:
             s = entities.unescape(s) if "&" in s else s
-            self.run.append(s)
-            if self.links:
-                self.linked += len(s)
+            self.run.append((s, self.marked[self.at], self.links > 0))
 
     def flush(self) -> None:
         if self.run:
-            if text := " ".join("".join(self.run).split()):
-                at = self.at
-                while self.tag[at] in INLINE:
-                    at = self.parent[at]
-                self.blocks.append((at, text, self.linked))
-            self.run, self.linked = [], 0
+            at = self.at
+            while self.tag[at] in INLINE:
+                at = self.parent[at]
+            self.runs.append((at, self.run))
+            self.run = []
+
+    def settle(self) -> None:
+        """Makes blocks of what does not lie in boilerplate."""
+        gone = self.boilerplate()
+        for at, run in self.runs:
+            kept = [x for x in run if not gone.get(x[1])] if gone else run
+            if text := " ".join("".join(s for s, _, _ in kept).split()):
+                self.blocks.append((at, text, sum(len(s) for s, _, linked in kept if linked)))
+        self.runs = []
+
+    def boilerplate(self) -> dict[int, bool]:
+        """Whether each marked element goes. One that holds the page's article, or most of its text, is no boilerplate."""
+        n = len(self.tag)
+        marks = [k for k in range(1, n) if self.marked[k] == k]
+        if not marks:
+            return {}
+        story = [0]
+        for k in range(1, n):
+            story.append(k if self.tag[k] in STORY and not self.dropped[k] else story[self.parent[k]])
+        # by nearest mark: characters out of links; articles with such text; main elements
+        size, told, mains = dict.fromkeys([0, *marks], 0), set(), dict.fromkeys([0, *marks], 0)
+        for at, run in self.runs:
+            for s, mark, linked in run:
+                own = 0 if linked else len("".join(s.split()))
+                size[mark] += own
+                at_story = story[at] if own else 0
+                while at_story and at_story not in told and self.marked[at_story] == mark:
+                    told.add(at_story)
+                    at_story = story[self.parent[at_story]]
+        direct = dict.fromkeys(size, 0)
+        for k in told:
+            direct[self.marked[k]] += 1
+        for k in range(1, n):
+            if self.tag[k] == "main" and not self.dropped[k]:
+                mains[self.marked[k]] += 1
+        own, inner = dict(size), dict(direct)
+        for m in reversed(marks):
+            up = self.marked[self.parent[m]]
+            size[up] += size[m]
+            inner[up] += inner[m]
+            mains[up] += mains[m]
+        gone, clear, left = {0: False}, direct[0], own[0]
+        for m in sorted(marks, key=lambda m: (-size[m], m)):  # an element before those in it
+            most, half = size[m] >= MOST_IN_MARK * size[0] > 0, 2 * size[m] >= size[0] > 0
+            within = story[self.parent[m]] > 0
+            keep = mains[m] or inner[m] and most or not self.minor[m] and (most and (within or not clear) or inner[m] and half and not clear)
+            gone[m] = gone[self.marked[self.parent[m]]] or not keep
+            if not gone[m]:
+                clear += direct[m]
+                left += own[m]
+        return gone if left else {}
 
     def open(self, tag: str, attrs: str) -> None:
         inline = tag in INLINE
         if not inline:
             if tag in CELLS:
-                self.run.append(" ")
+                self.run.append((" ", 0, False))
             else:
                 self.flush()
             self.end_open(frozenset(["p"]) if tag not in ENDS_ITSELF else ENDS_ITSELF[tag] | {"p"})
@@ -154,19 +209,22 @@ class Page:
                 if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     hidden = True
                 elif name in ("class", "id", "role"):
-                    words.update(WORD.findall(CAMEL.sub(" ", value).lower()))
+                    words.update(WORD.findall(NO_MARK.sub(" ", CAMEL.sub("-", value).lower())))
                     if name == "class" and not inline:
                         shown += "".join(f".{re.sub(r'[0-9]+', '#', c)}" for c in sorted(value.split()))
         up = self.at
-        # a header or named part that holds the whole page or article is no boilerplate
-        drop = hidden or tag in NEVER_TEXT or tag == "form" and not self.keep_forms or tag == "header" and not self.main[up] or tag not in ("html", "body", "main") and bool(words & (MINOR_ARTICLE if tag == "article" else BOILERPLATE))
+        # a header in the article is no boilerplate; elements with names of such are looked at when the page is read
+        drop = hidden or tag in NEVER_TEXT or tag == "form" and not self.keep_forms or tag == "header" and not self.main[up]
+        mark = tag not in ("html", "body", "main") and bool(words & (MINOR_ARTICLE if tag == "article" else BOILERPLATE))
         self.parent.append(up)
         self.tag.append(tag)
         self.path.append(self.path[up] if inline else f"{self.path[up]}/{shown}")
         self.dropped.append(self.dropped[up] or drop)
+        self.marked.append(len(self.tag) - 1 if mark else self.marked[up])
+        self.minor.append(bool(words & MINOR_ARTICLE))
         self.main.append(self.main[up] or tag in ("article", "main"))
         if drop and not inline:
-            self.run, self.linked = [], 0
+            self.run = []
         self.at = len(self.tag) - 1
         self.links += tag == "a"
 

@@ -64,3 +64,22 @@ def test_the_whole_article_is_taken(html, want):
     assert hc.extract(html, None) == want
     for path, _ in hc.ballots(html)[:1]:
         assert hc.extract(html, path) == want
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (page(f"<div class='layout has-sidebar'><article><h1>Head</h1><p>{LONG}</p></article><div class=sidebar><p>{LONG}</p></div></div>"), f"Head\n{LONG.strip()}"),
+        (page(f"<div class='layout sidebar-right'><article><p>{LONG}</p></article><div class=sidebar><p>{SHORT}</p></div></div><p>Two words</p>"), LONG.strip()),
+        (page(f"<div class='content with-comments'><p>{LONG}</p></div><section class=comments><p>{LONG}{LONG}</p></section>"), LONG.strip()),
+        (page(f"<div id='search-result-page'><div class=hits><p>{LONG}</p></div></div>"), LONG.strip()),
+        (page(f"<article><p>{LONG}</p><section class='related-work'><p>{SHORT}</p></section><div class=share>Share!</div></article>"), f"{LONG.strip()}\n{SHORT.strip()}"),
+        (page(f"<div class=widgets><main><p>{LONG}</p></main></div>"), LONG.strip()),
+        (page(f"<article><h1>Head</h1><div class='body social'><p>{LONG}</p></div></article>"), f"Head\n{LONG.strip()}"),
+        (page(f"<div class='comments'><p>{LONG}</p></div>"), LONG.strip()),
+        (page(f"<article><p>{SHORT}</p></article><div class=sidebar><p>{LONGER}</p></div><section class=related><article><p>{LONG}</p></article></section>"), SHORT.strip()),
+        (page(f"<article><p>Some <span class=share>Share!</span>words. {LONG}</p></article>"), f"Some words. {LONG.strip()}"),
+    ],
+)
+def test_a_name_alone_is_no_boilerplate(html, want):
+    assert hc.extract(html, None) == want
