@@ -1,5 +1,6 @@
 """The corpus pipeline: documents through four of the training-data operators, each stage written and read by the next.
 
+Near copies share four fifths of their five-word shingles (:data:`jaccard_join.CORPUS`); op6's contract binds op6 alone.
 Every stage but the last returns the columns of documents. A document leaves if its language is rejected, if a near copy
 with a smaller doc_id stays, or if it is contaminated by the benchmark; what is left is encoded, and decoded again.
 """
@@ -17,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, rule=jaccard_join.CORPUS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

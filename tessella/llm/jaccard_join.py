@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,37 @@ from pyspark.sql import functions as F
 from tessella.llm import common
 from tessella.llm.components import components
 
-SHINGLE = 3
-#: Linked when PARTS * intersection >= LEAST * union.
-LEAST, PARTS = 9, 10
+
+class Rule(NamedTuple):
+    """Sets of ``shingle``-word shingles are linked when parts * intersection >= least * union."""
+
+    shingle: int
+    least: int
+    parts: int
+
+    def prefix_length(self, n: Column | int):
+        """Tokens of a set of ``n`` that any partner must meet: n - ceil(n * least / parts) + 1."""
+        return n - -(-self.least * n // self.parts) + 1
+
+    def need(self, n: Column, m: Column) -> Column:
+        """Common tokens that sets of these sizes need."""
+        return ((self.least * (n + m) + self.least + self.parts - 1) / (self.least + self.parts)).cast("long")
+
+    def may_link(self, n: Column, i: Column, m: Column, j: Column) -> Column:
+        """Whether sets of sizes n and m that share a token at places i and j may reach the threshold by what that tells."""
+        return (self.parts * F.least(n, m) >= self.least * F.greatest(n, m)) & (i <= n - self.need(n, m)) & (j <= m - self.need(n, m))
+
+    def shared_in_prefixes(self, n: Column, m: Column) -> Column:
+        """Tokens that the prefixes of linked sets of these sizes have in common at least: those the rest of either can't hold."""
+        size = lambda k: k - F.ceil(self.least * k / self.parts) + 1
+        return F.least(self.need(n, m) - n + size(n), self.need(n, m) - m + size(m))
+
+
+#: The contract of op6: three words at 0.9.
+CONTRACT = Rule(3, 9, 10)
+#: The pipeline's stage: five words at 0.8.
+CORPUS = Rule(5, 4, 5)
+SHINGLE = CONTRACT.shingle
 SKETCH_BITS = 18
 SKETCH_SLICES = 16
 #: Bits of the map that picks documents whose sets are needed; a full map picks all.
@@ -100,31 +129,16 @@ class Shingler:
         return [np.unique(h[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def prefix_length(n: Column | int):
-    """Tokens of a set of ``n`` that any partner must meet: n - ceil(n * LEAST / PARTS) + 1."""
-    return n - -(-LEAST * n // PARTS) + 1
-
-
-def need(n: Column, m: Column) -> Column:
-    """Common tokens that sets of these sizes need."""
-    return ((LEAST * (n + m) + LEAST + PARTS - 1) / (LEAST + PARTS)).cast("long")
-
-
-def may_link(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Whether sets of sizes n and m that share a token at places i and j may reach the threshold by what that tells."""
-    return (PARTS * F.least(n, m) >= LEAST * F.greatest(n, m)) & (i <= n - need(n, m)) & (j <= m - need(n, m))
-
-
 def _bytes(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
+def sketch(docs: DataFrame, rule: Rule = CONTRACT) -> np.ndarray:
     """Occurrences of all shingles by the top bits of their hash: 2**SKETCH_BITS counts, however large the input."""
     each = (1 << SKETCH_BITS) // SKETCH_SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = Shingler(), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        own, total = Shingler(rule.shingle), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in common.slices(batches, "text"):
             h, _ = own.hashes(_bytes(batch))
             total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
@@ -156,18 +170,18 @@ def long_lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(values.view(np.int64)))
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, counts: np.ndarray, rule: Rule = CONTRACT) -> DataFrame:
     """(doc_id, n, sig, prefix): the set's size, a digest of it, and its rarest tokens in order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler()
+        own = Shingler(rule.shingle)
         for batch in common.slices(batches, "text"):
             sets = own.sets(_bytes(batch))
             sigs, firsts = [], []
             for s in sets:
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                k = prefix_length(len(s)) if len(s) else 0
+                k = rule.prefix_length(len(s)) if len(s) else 0
                 c = shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 if k < len(s):
                     near = np.flatnonzero(c <= np.partition(c, k - 1)[k - 1])
@@ -178,7 +192,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig binary, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """(id, tokens) of the documents in ``ids``. A bitmap of 2**MAP_BITS bits picks rows before their texts are worked on."""
     place = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
     size = 32768
@@ -190,7 +204,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     own = docs.withColumnRenamed("doc_id", "id").where("id is not null").withColumn("p", place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = Shingler()
+        work = Shingler(rule.shingle)
         for batch in batches:
             p = batch.column("p").to_numpy()
             batch = batch.filter(pa.array(shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1))
@@ -200,29 +214,23 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return own.select("id", "text", "p").mapInArrow(run, "id long, tokens array<long>")
 
 
-def shared_in_prefixes(n: Column, m: Column) -> Column:
-    """Tokens that the prefixes of linked sets of these sizes have in common at least: those the rest of either can't hold."""
-    size = lambda k: k - F.ceil(LEAST * k / PARTS) + 1
-    return F.least(need(n, m) - n + size(n), need(n, m) - m + size(m))
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets reach the threshold. Their prefixes, a tenth of the sets, rule out most others."""
     x, y = classes.alias("x"), classes.alias("y")
     near = pairs.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b"))
-    near = common.cut(near.where(F.size(F.array_intersect("x.prefix", "y.prefix")) >= shared_in_prefixes(F.col("x.n"), F.col("y.n"))).select("a", "b"))
-    sets = sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    near = common.cut(near.where(F.size(F.array_intersect("x.prefix", "y.prefix")) >= rule.shared_in_prefixes(F.col("x.n"), F.col("y.n"))).select("a", "b"))
+    sets = sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rule)
     x, y = sets.alias("x"), sets.alias("y")
     both = near.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b"))
     same = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    return both.where(PARTS * same >= LEAST * (F.size("x.tokens") + F.size("y.tokens") - same)).select("a", "b")
+    return both.where(rule.parts * same >= rule.least * (F.size("x.tokens") + F.size("y.tokens") - same)).select("a", "b")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     common.ready(docs)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    every = common.cut(prefixes(own, sketch(own)))
+    every = common.cut(prefixes(own, sketch(own, rule), rule))
     classes = common.cut(every.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     rows = classes.where("id is not null").select("id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
@@ -231,8 +239,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     leaders = rows.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("l")).select("token", F.col("l.id").alias("lid"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
-    near = common.cut(rows.join(leaders, "token").where((F.col("id") != F.col("lid")) & may_link(F.col("n"), F.col("pos"), F.col("ln"), F.col("lpos"))).select(*pair(F.col("id"), F.col("lid"))).distinct())
-    links = common.cut(verified(near, sized, own))
+    near = common.cut(rows.join(leaders, "token").where((F.col("id") != F.col("lid")) & rule.may_link(F.col("n"), F.col("pos"), F.col("ln"), F.col("lpos"))).select(*pair(F.col("id"), F.col("lid"))).distinct())
+    links = common.cut(verified(near, sized, own, rule))
     groups = components(links)
 
     grouped = rows.join(groups.select("id", "component"), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
@@ -241,31 +249,31 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     cells = common.cut(cells.join(split, "token"))  # of tokens in more than one group
     asking = cells.where("grp != top").select("token", "grp").join(grouped, ["token", "grp"]).select("token", F.col("grp").alias("q_grp"), F.col("id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("q_pos"))
     # the smallest size of a partner that the group may hold asks for least
-    low = F.greatest(F.col("low"), F.ceil(LEAST * F.col("qn") / PARTS))
-    fits = (low <= F.col("high")) & (PARTS * F.col("qn") >= LEAST * low) & (F.col("q_pos") <= F.col("qn") - need(F.col("qn"), low)) & (F.col("first") <= F.col("high") - need(F.col("qn"), F.col("high")))
+    low = F.greatest(F.col("low"), F.ceil(rule.least * F.col("qn") / rule.parts))
+    fits = (low <= F.col("high")) & (rule.parts * F.col("qn") >= rule.least * low) & (F.col("q_pos") <= F.col("qn") - rule.need(F.col("qn"), low)) & (F.col("first") <= F.col("high") - rule.need(F.col("qn"), F.col("high")))
     open_ = asking.join(cells.select("token", "grp", "low", "high", "first"), "token").where((F.col("grp") != F.col("q_grp")) & fits).select("token", "grp", "q", "qn", "q_pos")
-    met = open_.join(grouped.select("token", "grp", "id", "n", "pos"), ["token", "grp"]).where(may_link(F.col("qn"), F.col("q_pos"), F.col("n"), F.col("pos"))).select(*pair(F.col("q"), F.col("id"))).distinct()
-    more = verified(common.cut(met.join(near, ["a", "b"], "left_anti")), sized, own)
+    met = open_.join(grouped.select("token", "grp", "id", "n", "pos"), ["token", "grp"]).where(rule.may_link(F.col("qn"), F.col("q_pos"), F.col("n"), F.col("pos"))).select(*pair(F.col("q"), F.col("id"))).distinct()
+    more = verified(common.cut(met.join(near, ["a", "b"], "left_anti")), sized, own, rule)
     found = components(links.unionByName(more))
 
     named = classes.select("sig", "id").join(found.select("id", "component"), "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
     return every.select("doc_id", "n", "sig").join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
     """``docs`` with the smallest key of each component only, in its own columns."""
-    gone = join(docs, key, text).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = join(docs, key, text, rule).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[key].cast("long") == F.col("__gone"), "left_anti")
 
 
-def brute_force(rows: list[tuple[int | None, str | None]]) -> dict[int, tuple[int, int]]:
+def brute_force(rows: list[tuple[int | None, str | None]], rule: Rule = CONTRACT) -> dict[int, tuple[int, int]]:
     """The same by comparing all pairs of a small table: {doc_id: (n_shingles, component_id)}."""
     import re
 
     sets = {}
     for k, t in rows:
         w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[k] = {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} if len(w) >= SHINGLE else {tuple(w)} if w else set()
+        sets[k] = {tuple(w[i : i + rule.shingle]) for i in range(len(w) - rule.shingle + 1)} if len(w) >= rule.shingle else {tuple(w)} if w else set()
     up = {k: k for k in sets}
 
     def root(k):
@@ -276,7 +284,7 @@ def brute_force(rows: list[tuple[int | None, str | None]]) -> dict[int, tuple[in
     keys = sorted(sets)
     for x in keys:
         for y in keys:
-            if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= 90 * len(sets[x] | sets[y]):
+            if x < y and sets[x] and rule.parts * len(sets[x] & sets[y]) >= rule.least * len(sets[x] | sets[y]):
                 a, b = root(x), root(y)
                 up[max(a, b)] = min(a, b)
     return {k: (len(s), root(k)) for k, s in sets.items()}

@@ -74,6 +74,22 @@ def test_keep_one_keeps_columns(spark):
     assert {r.doc_id for r in out.collect()} == {1, 9}
 
 
+def test_five_words_at_four_fifths(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(14):
+        base = [f"w{rng.randrange(200)}" for _ in range(rng.choice([3, 4, 5, 30, 60, 120]))]
+        for _ in range(rng.randint(1, 8)):
+            own = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(50)}"
+            rows.append((len(rows), " ".join(own[: int(len(own) * rng.choice([1, 1, 0.85, 0.78]))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.join(docs, rule=jj.CORPUS).collect()}
+    assert got == jj.brute_force(rows, jj.CORPUS)
+    assert {k: c for k, (_, c) in got.items()} != {k: c for k, (_, c) in jj.brute_force(rows).items()}
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (3, 4), (9, 8), (8, 8), (4, 1)], [(i, i + 1) for i in range(40)], [(100, i) for i in range(20)]])
 def test_components(spark, edges):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

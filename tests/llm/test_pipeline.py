@@ -47,3 +47,12 @@ def test_stage_columns(spark, folder):
     assert len(corpus_pipeline.STAGES) in (4, 5)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(folder[0])).columns == docs.columns
+
+
+def test_near_copies_of_the_stage(spark):
+    base = [f"w{i}" for i in range(100)]
+    near, far = [*base], [*base]
+    near[30] = near[70] = "other"  # 86 of 106 five-word shingles, 92 of 104 of three words: linked at 0.8, not at 0.9
+    far[20] = far[50] = far[80] = "other"  # 81 of 111
+    docs = spark.createDataFrame([(k, " ".join(w), "en") for k, w in enumerate((base, near, far))], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {0, 2}
