@@ -11,12 +11,14 @@ Defined results
 * empty documents or benchmark: an empty result, or no hits;
 * extra columns are ignored by :func:`scan` and kept by :func:`clean`.
 
-The benchmark is broadcast in blocks of at most ``BLOCK_BYTES``; a larger one takes several passes whose hits are merged.
+The benchmark is broadcast in blocks of about half of ``BLOCK_BYTES``. With several of them a task keeps its rows in a
+temporary file and reads it once for each block, so every row is judged alone, by all blocks, and no key is needed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,12 +137,46 @@ def is_contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:
     return n_hit > 0 and SHARE * n_hit >= n_words
 
 
-def _scanner(shared):
-    def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def found_in(batches: Iterator[pa.RecordBatch], text: str, shared: list) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[tuple[int, int]], list[str]]]]]:
+    """Slices of ``batches`` and what :func:`find` gives for their texts over all blocks; one index is held at a time."""
+    texts = lambda batch: batch.column(text).cast(pa.binary()).to_pylist()
+    if len(shared) == 1:
         index = None
-        for batch in common.slices(batches, "text"):
-            index = index or Index(shared.value)
-            found = find(index, batch.column("text").cast(pa.binary()).to_pylist())
+        for batch in common.slices(batches, text):
+            index = index or Index(shared[0].value)
+            yield batch, find(index, texts(batch))
+        return
+    with tempfile.TemporaryFile() as kept:
+        writer = None
+        for batch in common.slices(batches, text):
+            writer = writer or pa.ipc.new_stream(kept, batch.schema)
+            writer.write_batch(batch)
+        if writer is None:
+            return
+        writer.close()
+        spans: dict[int, list[tuple[int, int]]] = {}  # of the rows that have hits, by their place
+        items: dict[int, set[str]] = {}
+        for block in shared:
+            index = Index(block.value)
+            vars(block).pop("_value", None)  # else the worker would hold all blocks
+            kept.seek(0)
+            at = 0
+            for batch in pa.ipc.open_stream(kept):
+                for k, (_, s, i) in enumerate(find(index, texts(batch)), at):
+                    if s:
+                        spans.setdefault(k, []).extend(s)
+                        items.setdefault(k, set()).update(i)
+                at += batch.num_rows
+        kept.seek(0)
+        at = 0
+        for batch in pa.ipc.open_stream(kept):
+            yield batch, [(len(words(t)), merged(spans.get(k, [])), sorted(items.get(k, ()))) for k, t in enumerate(texts(batch), at)]
+            at += batch.num_rows
+
+
+def _scanner(shared: list):
+    def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in found_in(batches, "text", shared):
             spans = [[{"start": a, "stop": b} for a, b in s] for _, s, _ in found]
             yield pa.record_batch([batch.column("doc_id"), pa.array([n for n, _, _ in found], pa.int64()), pa.array(spans, RESULT.field("spans").type), pa.array([i for _, _, i in found], pa.list_(pa.string()))], schema=RESULT)
 
@@ -162,15 +198,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     common.ready(docs)
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    passes = [own.mapInArrow(_scanner(sc.broadcast(b)), RESULT_DDL) for b in blocks(benchmark, block_bytes)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    join = F.udf(lambda spans: [{"start": a, "stop": b} for a, b in merged([(s["start"], s["stop"]) for s in spans])], "array<struct<start:long,stop:long>>")
-    # rows of one doc_id are one document; their words are equal in every pass
-    return every.groupBy("doc_id", "n_words").agg(join(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return own.mapInArrow(_scanner([sc.broadcast(b) for b in blocks(benchmark, block_bytes)]), RESULT_DDL)
 
 
 def judge(hits: DataFrame) -> DataFrame:
@@ -187,24 +215,13 @@ def judge(hits: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without its contaminated documents, in its own columns; one pass without a shuffle for each block of the benchmark.
-
-    With several blocks a document's hits are summed over all of them first, and contaminated rows leave by an anti-join of keys."""
+    """``docs`` without its contaminated documents, in its own columns; one pass without a shuffle."""
     common.ready(docs)
     sc = docs.sparkSession.sparkContext
-    parts = blocks(benchmark, block_bytes)
-    first = next(parts)
-    second = next(parts, None)
-    if second is not None:
-        bad = judge(scan(docs, benchmark, key, text, block_bytes)).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs[key].cast("long") == F.col("__bad"), "left_anti")
-    shared = sc.broadcast(first)
+    shared = [sc.broadcast(b) for b in blocks(benchmark, block_bytes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
-        for batch in common.slices(batches, text):
-            index = index or Index(shared.value)
-            found = find(index, batch.column(text).cast(pa.binary()).to_pylist())
+        for batch, found in found_in(batches, text, shared):
             yield batch.filter(pa.array([not is_contaminated(n, spans) for n, spans, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -64,3 +64,16 @@ def test_spans_are_cut_out():
     text = "Keep this, but THAT goes - all of it. End"
     assert dc.remove_spans(text, [(3, 6)]) == "Keep this, but  of it. End"
     assert dc.remove_spans(None, [(0, 1)]) is None
+
+
+def test_every_row_is_judged_alone(spark):
+    items = [(f"i{k}", " ".join(f"k{k}x{j}" for j in range(14))) for k in range(30)]
+    clean, bad, worse = "quite clean words " * 10, items[3][1] + " more of it", " ".join(items[k][1] for k in range(30))
+    texts = [(None, clean), (None, bad), (None, worse), (7, clean), (7, bad), (7, bad), (8, f"{bad} end"), (8, "other words " * 8 + "a"), (None, None), (7, "")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id string, text string")
+    want = sorted(((k, *v) for k, t in texts for v in brute([(k, t)], items).values()), key=str)
+    for size in (dc.BLOCK_BYTES, 400):  # one block, and several
+        assert sorted((tuple(r) for r in dc.judge(dc.scan(d, b, block_bytes=size)).collect()), key=str) == want
+        kept = [tuple(r) for r in dc.clean(d, b, block_bytes=size).collect()]
+        assert sorted(kept, key=str) == sorted([(k, t) for k, t in texts if not brute([(k, t)], items)[k][4]], key=str)
