@@ -2,7 +2,7 @@
 
 Near copies share four fifths of their five-word shingles (:data:`jaccard_join.CORPUS`); op6's contract binds op6 alone.
 Every stage but the last returns the columns of documents. A document leaves if its language is rejected, if a near copy
-with a smaller doc_id stays, or if it is contaminated by the benchmark; what is left is encoded, and decoded again.
+with a smaller doc_id stays (of rows without one, or that repeat, one stays), or if it is contaminated by the benchmark; what is left is encoded, and decoded again.
 """
 
 from __future__ import annotations

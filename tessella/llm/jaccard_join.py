@@ -211,7 +211,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule = CONTRACT) -> DataFrame
             for part in common.slices(iter([batch]), "text"):
                 yield pa.record_batch([part.column("id"), long_lists(work.sets(_bytes(part)))], names=["id", "tokens"])
 
-    return own.select("id", "text", "p").mapInArrow(run, "id long, tokens array<long>")
+    return own.select("id", "text", "p").mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])  # rows may repeat
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
@@ -261,9 +261,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
-    """``docs`` with the smallest key of each component only, in its own columns."""
-    gone = join(docs, key, text, rule).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[key].cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component only, that of the smallest key, in its own columns.
+
+    Rows are told apart by key and text, so those of a null or repeated key are compared like all others; null keys come last,
+    rows that repeat stay once, and wordless rows all stay."""
+    common.ready(docs)
+    number, words = F.col(key).cast("long"), F.col(text).cast("string")
+    own = docs.withColumns({"__id": F.xxhash64(number, words), "__null": number.isNull(), "__key": number})
+    worded = F.coalesce(words.rlike(r"[^\x09-\x0d\x20]"), F.lit(False))
+    some = own.where(worded)
+    named = join(some, "__id", text, rule).groupBy("doc_id").agg(F.first("component_id").alias("component"))
+    keys = some.groupBy("__id").agg(F.min(F.struct("__null", "__key")).alias("k"))
+    stay = keys.join(named, F.col("__id") == F.col("doc_id")).groupBy("component").agg(F.min(F.struct("k.__null", "k.__key", "__id")).alias("s")).select(F.col("s.__id").alias("__id"))
+    once = some.dropDuplicates(["__id"]).join(stay, "__id", "left_semi")
+    return once.select(*docs.columns).unionByName(own.where(~worded).select(*docs.columns))
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], rule: Rule = CONTRACT) -> dict[int, tuple[int, int]]:

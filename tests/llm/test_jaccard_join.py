@@ -90,6 +90,14 @@ def test_five_words_at_four_fifths(spark):
     assert {k: c for k, (_, c) in got.items()} != {k: c for k, (_, c) in jj.brute_force(rows).items()}
 
 
+def test_keep_one_of_null_and_repeated_keys(spark):
+    base = [f"w{i}" for i in range(100)]
+    text, near = " ".join(base), " ".join([*base[:99], "last"])
+    rows = [(5, "a b c d"), (5, "a b c d"), (None, "A b c d"), (None, "q r s"), (None, "q r s"), (None, text), (None, near), (9, near), (7, "one text here"), (7, "and quite another"), (None, None), (None, " "), (4, "x y z"), (4, "x y z"), (6, "")]
+    kept = sorted((tuple(r) for r in jj.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(5, "a b c d"), (None, "q r s"), (9, near), (7, "one text here"), (7, "and quite another"), (None, None), (None, " "), (4, "x y z"), (6, "")], key=str)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (3, 4), (9, 8), (8, 8), (4, 1)], [(i, i + 1) for i in range(40)], [(100, i) for i in range(20)]])
 def test_components(spark, edges):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
