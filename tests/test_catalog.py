@@ -53,3 +53,16 @@ def test_plans_stay_in_the_jvm(spark):
 def test_scans_are_pruned(spark):
     plan = catalog.color_histogram(spark, SF)._jdf.queryExecution().toString()
     assert "l_comment" not in plan and "l_extendedprice" not in plan.split("ReadSchema")[-1]
+
+
+def test_exact_palettes_read_every_pixel(spark):
+    from tessella.functions import color
+    from tessella.plans import views
+
+    seen = {}
+    for p in views.pixels(spark, SF).where(f"a >= {color.OPAQUE}").orderBy("img", "pos").collect():
+        seen.setdefault(p.img, {}).setdefault((p.r // 32 * 32, 0, p.b))
+    got = {}
+    for r in sorted(catalog.QUERIES["view_palette_exact_tones"](spark, SF).collect(), key=lambda r: (r.img, r.idx)):
+        got.setdefault(r.img, []).append((r.r, r.g, r.b))
+    assert len(got) > 1 and got == {k: [*c, *[(0, 0, 0)] * (255 - len(c)), (255, 255, 255)] for k, c in seen.items()}
