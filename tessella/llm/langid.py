@@ -2,17 +2,25 @@
 
 Subwords are the character 2-, 3- and 4-grams of lower-cased words, with the space on either side. Their embeddings are
 averaged over the whole text, so a trained model folds into one table of logits per bucket and a text costs one gather
-and one sum per subword, however long it is.
+and one sum per subword, however long it is; long texts are worked on in pieces whose sums are added.
+
+A text is rejected if its subwords are not typical of any learned language: the mean log frequency that they have in the
+training texts is under a threshold. (The best probability would not do: a text in two languages has a low one.) It is
+calibrated on texts that were not trained on, and on negatives made of them: shuffled characters, random letters and
+letters of scripts that no learned language uses. A short text tells less, so there is a threshold for each class of
+length (numbers of subwords up to ``EVIDENCE``). Clean texts may fall under it at the rate CLEAN_LOSS, negatives over it
+at JUNK_PASS; where both can't be had, clean texts come first. ``Model.errors`` reports both rates by class.
 
 Defined results
 ---------------
 * null text, or text without a letter: ``und``, score 0, rejected;
-* otherwise a learned language with its calibrated probability; ``rejected`` if that is under the fitted threshold;
+* otherwise a learned language with its calibrated probability; ``rejected`` as above;
 * equal probabilities: the language that sorts first; repeated rows are all returned;
 * no usable training row: every text is ``und``; extra columns are ignored.
 
-The fit reads at most ``TRAIN_ROWS`` rows, each of at most ``TRAIN_BYTES`` (a bound on the fit alone: predictions use whole
-texts); rows are picked by a hash of doc_id, about equally many of each language.
+The fit reads at most ``TRAIN_ROWS`` rows, about equally many of each language, picked by a hash of key and text; of a text of
+more than TRAIN_CHARS characters it takes PLACES stretches of equal length at hashed places (bounds on the fit alone:
+predictions use whole texts). Rows whose key is held out have no part in it, nor in the rates at which rows are picked.
 """
 
 from __future__ import annotations
@@ -29,17 +37,22 @@ from tessella.llm import common
 BUCKETS = 1 << 16
 DIM = 16
 ORDERS = (2, 3, 4)
-TRAIN_ROWS = 4000
-TRAIN_BYTES = 1 << 14
-SNIPPET = 240
+#: Rows of the fit, and characters that it takes of each: the whole text, or PLACES stretches of a longer one.
+TRAIN_ROWS, TRAIN_CHARS, PLACES = 4000, 8192, 4
+#: Each training text is learned by windows of so many characters at random places, so that short texts are learned too.
+WINDOWS = (800, 240, 60, 20, 8)
 EPOCHS = 4
-#: The threshold under which at most this share of calibration texts falls that were recognised rightly.
-CLEAN_LOSS = 0.001
-#: And a threshold is at most this much over what guessing gives: only texts of no language stand out so little.
-OVER_GUESSING = 0.1
+#: Classes of length: at most so many subwords, and more.
+EVIDENCE = (24, 96, 384)
+#: The shares of clean texts that may be rejected, and of negatives that may pass.
+CLEAN_LOSS, JUNK_PASS = 0.0005, 0.01
+#: Scripts of the negatives, by their first and last letters.
+SCRIPTS = ((0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0x3041, 0x3096), (0x4E00, 0x5E00), (0xAC00, 0xB000))
 HELD_OUT = 2
 #: Bytes of text whose subwords are held at once.
 WORK_BYTES = 256 << 10
+#: Characters of a long text that are worked on at once.
+PIECE = 1 << 17
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -57,6 +70,14 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def pieces(text: str, size: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The code points of a text in pieces, and how many subwords may start in each: they overlap by what a subword reads on."""
+    whole = f" {text.lower()} "
+    for lo in range(0, len(whole), size):
+        own = whole[lo : lo + size + max(ORDERS) - 1]
+        yield np.frombuffer(own.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), min(size, len(whole) - lo)
+
+
 def subwords(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and buckets of the n-grams whose inner characters are letters and that hold a letter."""
     if len(codes) < n:
@@ -85,13 +106,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, langs: list[str], logits: np.ndarray, bias: np.ndarray, temperature: float = 1.0, threshold: float = 0.0):
-        self.langs, self.logits, self.bias, self.temperature, self.threshold = langs, logits, bias, temperature, threshold
+    """``table`` has the logits of each bucket and, in its last column, the log frequency of its subwords."""
+
+    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, thresholds: tuple[float, ...] = (-np.inf,) * (len(EVIDENCE) + 1), errors: tuple[tuple[float, float], ...] = ()):
+        self.langs, self.table, self.bias, self.temperature, self.thresholds, self.errors = langs, table, bias, temperature, thresholds, errors
 
-    def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Logits and numbers of subwords."""
-        total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
-        codes = [points(t) for t in texts]
+    def parts(self) -> tuple:
+        return self.langs, self.table, self.bias, self.temperature, self.thresholds, self.errors
+
+    def raw(self, texts: list[str], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, typicality and numbers of subwords."""
+        total, count = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts), dtype=np.int64)
+        long_ = [k for k, t in enumerate(texts) if len(t) > piece]
+        codes = [points(t if len(t) <= piece else "") for t in texts]
         joined = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32)
         ends = np.cumsum([len(c) for c in codes])
         for n in ORDERS:
@@ -99,17 +126,26 @@ class Model:
             edges = np.searchsorted(start, np.concatenate([[0], ends]))
             some = np.flatnonzero(np.diff(edges))
             if len(some):
-                total[some] += np.add.reduceat(self.logits[bucket], edges[some], axis=0)
+                total[some] += np.add.reduceat(self.table[bucket], edges[some], axis=0)
             count += np.diff(edges)
-        return total / np.maximum(count, 1)[:, None] + self.bias, count
+        for k in long_:
+            for own, starts in pieces(texts[k], piece):
+                for n in ORDERS:
+                    start, bucket = subwords(own, n)
+                    bucket = bucket[: np.searchsorted(start, starts)]
+                    total[k] += self.table[bucket].sum(axis=0)
+                    count[k] += len(bucket)
+        total /= np.maximum(count, 1)[:, None]
+        return total[:, :-1] + self.bias, total[:, -1], count
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         if not self.langs:
             return [(UNKNOWN, 0.0, True)] * len(texts)
-        raw, count = self.raw([t or "" for t in texts])
+        raw, typical, count = self.raw([t or "" for t in texts])
         p = softmax(raw / self.temperature)
         best = p.argmax(axis=1)
-        return [(self.langs[b], float(q[b]), bool(q[b] < self.threshold)) if n else (UNKNOWN, 0.0, True) for b, q, n in zip(best, p, count, strict=True)]
+        rejected = typical < np.array(self.thresholds)[np.searchsorted(EVIDENCE, count)]
+        return [(self.langs[b], float(q[b]), bool(r)) if n else (UNKNOWN, 0.0, True) for b, q, r, n in zip(best, p, rejected, count, strict=True)]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -118,19 +154,50 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def snippets(text: str, rng: np.random.Generator) -> list[str]:
-    """The text, and short windows of it so that short texts are learned too."""
-    out = [text[:2000]]
-    for size in (SNIPPET, 60, 20):
-        a = int(rng.integers(0, max(1, len(text) - size)))
-        out.append(text[a : a + size])
+    """Windows of the text at random places; of one that is no longer, all of it."""
+    return [text[a : a + size] for size in WINDOWS for a in [int(rng.integers(0, max(1, len(text) - size + 1)))]]
+
+
+def negatives(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Texts of no language, as long as ``texts``: each one's characters shuffled, random letters, and a foreign script."""
+    out = []
+    used = {c for t in texts for c in t.lower() if c.isalpha()}
+    foreign = [s for s in SCRIPTS if not any(s[0] <= ord(c) <= s[1] for c in used)]
+    alphabet = np.array(sorted(used) or ["a"])
+    for t in texts:
+        own = np.array(list(t))
+        out.append("".join(own[rng.permutation(len(own))]))
+        spaces = own == " "
+        out.append("".join(np.where(spaces, " ", alphabet[rng.integers(0, len(alphabet), len(own))])))
+        if foreign:
+            lo, hi = foreign[int(rng.integers(0, len(foreign)))]
+            out.append("".join(np.where(spaces, " ", np.array([chr(c) for c in rng.integers(lo, hi + 1, len(own))], dtype=own.dtype if len(own) else "U1"))))
     return out
 
 
+def thresholds(clean: tuple[np.ndarray, np.ndarray], junk: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[float, ...], tuple[tuple[float, float], ...]]:
+    """By class of length: the threshold of what is typical, and the shares of clean texts rejected and of junk passed.
+
+    Where both targets can be met it lies in the middle of what meets them, else as high as clean texts allow."""
+    at, errors = [], []
+    for k in range(len(EVIDENCE) + 1):
+        good, bad = (x[(np.searchsorted(EVIDENCE, n) == k) & (n > 0)] for x, n in (clean, junk))
+        if not len(good) or not len(bad):
+            at.append(-np.inf)
+            errors.append((0.0, 1.0))
+            continue
+        most, least = np.quantile(good, CLEAN_LOSS, method="lower"), np.quantile(bad, 1 - JUNK_PASS, method="higher")
+        t = float((most + least) / 2 if least <= most else most)
+        at.append(t)
+        errors.append((float((good < t).mean()), float((bad >= t).mean())))
+    return tuple(at), tuple(errors)
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 8) -> Model:
     """A calibrated model of (text, language) rows. Every tenth row calibrates and is not trained on."""
     langs = sorted({y for _, y in rows})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 1)), np.zeros(0))
     rng = np.random.default_rng(seed)
     place = {y: k for k, y in enumerate(langs)}
     order = rng.permutation(len(rows))
@@ -169,17 +236,20 @@ def fit(rows: list[tuple[str, str]], seed: int = 8) -> Model:
             w -= rate * mean.T @ error
             bias -= 0.1 * rate * error.sum(axis=0)
             e[keys] -= 40 * rate * step
-    model = Model(langs, e @ w, bias)
-    held = [x for x in held if len(x[0]) >= SNIPPET // 4] or train
-    raw, count = model.raw([s for s, _ in held])
+    seen = np.full(BUCKETS, 0.5)
+    for lo in range(0, len(train), size):
+        seen += np.bincount(features([s for s, _ in train[lo : lo + size]])[0], minlength=BUCKETS)
+    model = Model(langs, np.column_stack([e @ w, np.log(seen / seen.sum())]), bias)
+    held = held or train
+    raw, typical, count = model.raw([s for s, _ in held])
     truth = np.array([y for _, y in held])
+    told = count >= EVIDENCE[0]
+    told = told if told.any() else count >= 0
     grid = np.geomspace(0.05, 5, 40)
-    loss = [-np.log(np.maximum(softmax(raw / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
+    loss = [-np.log(np.maximum(softmax(raw[told] / t)[np.arange(told.sum()), truth[told]], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
-    p = softmax(raw / model.temperature)
-    right = np.sort(p.max(axis=1)[(p.argmax(axis=1) == truth) & (count > 0)])
-    if len(right):
-        model.threshold = float(min(1 / len(langs) + OVER_GUESSING, right[int(CLEAN_LOSS * len(right))]))
+    _, odd, odd_count = model.raw(negatives([s for s, _ in held], rng))
+    model.thresholds, model.errors = thresholds((typical, count), (odd, odd_count))
     return model
 
 
@@ -188,15 +258,18 @@ def held_out(key) -> F.Column:
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled rows, picked by a hash of the key at a rate set for each language."""
-    own = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang")).where(F.octet_length("__text") <= TRAIN_BYTES)
-    counts = {r["__lang"]: r["count"] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("__lang")).count().orderBy(F.desc("count"), "__lang").limit(rows).collect()}
+    """At most ``rows`` labelled rows (of at most as many languages) that are not held out, at a rate set for each language."""
+    own = docs.where(~held_out(key)).select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang")).where("__text is not null and __lang is not null")
+    counts = {r["__lang"]: r["count"] for r in own.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(rows).collect()}
     if not counts:
         return []
     rate = F.coalesce(*[F.when(F.col("__lang") == y, F.lit(rows / len(counts) / n)) for y, n in counts.items()])
-    picked = own.where(F.pmod(F.xxhash64("__key", F.lit(8)), F.lit(1 << 30)) < rate * (1 << 30))
-    found = picked.select("__text", "__lang", F.xxhash64("__key", F.lit(9)).alias("h"), "__key").orderBy("h", "__key", "__text").limit(rows).collect()
-    return [(r["__text"], r["__lang"]) for r in found]
+    picked = own.where(F.pmod(F.xxhash64("__key", "__text", F.lit(8)), F.lit(1 << 30)) < rate * (1 << 30))
+    n, each = F.length("__text"), TRAIN_CHARS // PLACES
+    stretches = [F.col("__text").substr((F.pmod(F.xxhash64("__key", "__text", F.lit(k)), n - each + 1) + 1).cast("int"), F.lit(each)) for k in range(PLACES)]
+    cut = F.when(n <= TRAIN_CHARS, F.array("__text")).otherwise(F.array(*stretches))
+    found = picked.select(cut.alias("texts"), "__lang", F.xxhash64("__key", "__text", F.lit(9)).alias("h"), "__key").orderBy("h", "__key", "__lang").limit(rows).collect()
+    return [(t, r["__lang"]) for r in found for t in r["texts"]]
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
@@ -205,7 +278,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pre
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of each row; one pass, no shuffle."""
     common.ready(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logits, model.bias, model.temperature, model.threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
@@ -226,7 +299,7 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     """``docs`` without rejected documents, in its own columns; one pass, no shuffle."""
     common.ready(docs)
     model = fit(sample(docs, key, text, lang))
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logits, model.bias, model.temperature, model.threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None

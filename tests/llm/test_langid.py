@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import langid
@@ -45,3 +48,69 @@ def test_filter_keeps_columns(spark):
     docs = spark.createDataFrame([(k, "the cat and the dog " * 9 if k % 2 else "der Hund und die Katze " * 9, "en" if k % 2 else "de", "s") for k in range(80)] + [(100, "12 !", "en", "s"), (101, None, None, None)], "doc_id long, text string, lang string, source string")
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(80))
+
+
+def test_held_out_labels_have_no_part(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang"))
+    other = docs.withColumn("lang", F.when(langid.held_out("doc_id"), F.lit("xx")).otherwise(F.col("lang")))
+    assert langid.sample(docs, rows=60) == langid.sample(other, rows=60) != []
+
+
+def test_languages_of_long_texts_alone_are_learned(spark):
+    docs = spark.createDataFrame([(k, "the cat and the dog " * 3 if k % 2 else "der Hund und die Katze " * 2000, "en" if k % 2 else "de") for k in range(40)], "doc_id long, text string, lang string")
+    rows = langid.sample(docs)
+    assert {y for _, y in rows} == {"en", "de"} and max(len(t) for t, _ in rows) <= langid.TRAIN_CHARS
+    assert {t in "der Hund und die Katze " * 2000 for t, y in rows if y == "de"} == {True}
+
+
+def test_rejects_what_is_no_learned_language(spark):
+    model = langid.fit(langid.sample(spark.read.parquet(f"{SF}/documents.parquet")))
+    rng = random.Random(4)
+    own = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where(langid.held_out("doc_id") & (F.length("text") > 400)).collect()]
+    junk = ["".join(rng.sample(t, len(t))) for t in own] + ["".join(rng.choice("абвгдежзийклмнопрстуфхцчшщъыьэюя ") for _ in range(400)) for _ in range(40)] + ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(400)) for _ in range(40)]
+    passed = sum(not r for _, _, r in model.predict(junk)) / len(junk)
+    lost = sum(r for _, _, r in model.predict(own)) / len(own)
+    assert lost <= 0.002 and passed <= 0.1
+    assert len(model.errors) == len(model.thresholds) and all(a <= 2 * langid.CLEAN_LOSS for a, _ in model.errors)
+
+
+def test_pieces_add_up():
+    model = toy()
+    text = "der Hund, und die 12 Katze? " * 50 + "the dog"
+    for piece in (1, 2, 3, 7, 64, 1000):
+        got, want = model.raw(["x", text, ""], piece), model.raw(["x", text, ""])
+        assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+
+
+def plain(model, text):
+    """One text by the definition: every subword's logits averaged."""
+    t, out, n = f" {text.lower()} ", np.zeros(len(model.langs)), 0
+    for size in langid.ORDERS:
+        for i in range(len(t) - size + 1):
+            inner = t[i : i + 2] if size == 2 else t[i + 1 : i + size - 1]
+            if any(c.isalpha() for c in inner) if size == 2 else all(c.isalpha() for c in inner):
+                h = size
+                for c in t[i : i + size]:
+                    h = (h ^ (ord(c) if c.isalpha() else 32)) * 0x01000193 & 0xFFFFFFFF
+                    h ^= h >> 15
+                out, n = out + model.table[h & langid.BUCKETS - 1, :-1], n + 1
+    e = np.exp((out / max(n, 1) + model.bias) / model.temperature)
+    return model.langs[int(e.argmax())], float(e.max() / e.sum())
+
+
+def test_prediction_equals_a_plain_version():
+    model = toy()
+    texts = ["the dog and", "Die Katze!", "a1b der", "x", "Über-Hund the\n\tdog " * 7]
+    for text, (lang, score, _) in zip(texts, model.predict(texts), strict=True):
+        want = plain(model, text)
+        assert lang == want[0] and abs(score - want[1]) < 1e-9
+
+
+def test_a_very_long_text_is_worked_on_in_pieces():
+    import tracemalloc
+
+    text = "der Hund und die Katze " * 400_000
+    tracemalloc.start()
+    assert toy().predict([text])[0][0] == "de"
+    assert tracemalloc.get_traced_memory()[1] < 6 * len(text)
+    tracemalloc.stop()
