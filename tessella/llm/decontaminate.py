@@ -11,8 +11,10 @@ Defined results
 * empty documents or benchmark: an empty result, or no hits;
 * extra columns are ignored by :func:`scan` and kept by :func:`clean`.
 
-The benchmark is broadcast in blocks of about half of ``BLOCK_BYTES``. With several of them a task keeps its rows in a
-temporary file and reads it once for each block, so every row is judged alone, by all blocks, and no key is needed.
+The benchmark is broadcast in blocks of about half of ``BLOCK_BYTES`` of text; the driver holds one at a time, and so does a
+worker, which indexes a block in sorted arrays once and keeps the index for its next task. With several blocks a task keeps
+its rows in a temporary file and reads it once for each block, so every row is judged alone, by all blocks, and no key is
+needed.
 """
 
 from __future__ import annotations
@@ -46,56 +48,86 @@ def words(text: str | bytes | None) -> list[bytes]:
     return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).translate(FOLD).split()
 
 
-def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` ids."""
-    out = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
+def mixed(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the run of ``n`` ids at each of ``starts``."""
+    out = np.zeros(len(starts), dtype=np.uint64)
     for k in range(n):
-        out += (ids[k : k + len(out)].astype(np.uint64) + np.uint64(1)) * FACTORS[k]
+        out += (ids[starts + k].astype(np.uint64) + np.uint64(1)) * FACTORS[k]
     out ^= out >> np.uint64(29)
     return out * np.uint64(0x9E3779B97F4A7C15)
 
 
 class Index:
-    """Windows of a block of benchmark items, by length and hash."""
+    """Different windows of a block of benchmark items by length: sorted hashes, where each is found, and whose it is."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
         self.vocabulary: dict[bytes, int] = {}
         self.names = sorted({i for i, _ in items})
         place = {x: k for k, x in enumerate(self.names)}
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        parts, owner = [], []
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            n = min(WINDOW, len(ids))
-            for k in range(len(ids) - n + 1) if n else ():
-                found.setdefault(n, {}).setdefault(tuple(ids[k : k + n]), set()).add(place[item])
+            own = words(text)
+            for w in set(own).difference(self.vocabulary):
+                self.vocabulary[w] = len(self.vocabulary)
+            if own:
+                parts.append(np.array([self.vocabulary[w] for w in own], dtype=np.int32))
+                owner.append(place[item])
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([*parts, np.zeros(0, dtype=np.int32)])
         self.tables = {}
-        for n, windows in found.items():
-            rows = np.array(list(windows), dtype=np.int64)
-            hashes = np.array([window_hashes(r, n)[0] for r in rows], dtype=np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            owners = list(windows.values())
-            self.tables[n] = hashes[order], rows[order], [owners[k] for k in order]
-
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, set[int]]]:
-        """(start, length, items) of each verified window in ``ids``; -1 stands for a word of no item."""
+        for n in sorted(set(np.minimum(sizes, WINDOW).tolist())):
+            some = np.flatnonzero(np.minimum(sizes, WINDOW) == n)
+            counts = sizes[some] - n + 1
+            starts = np.repeat(first[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            owners = np.repeat(np.array(owner, dtype=np.int64)[some], counts)
+            self.tables[n] = self.table(starts, owners, n)
+
+    def table(self, starts: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """(hashes, start of a window, edges of its owners, owners), a row for each different window."""
+        hashes = mixed(self.ids, starts, n)
+        order = np.lexsort((owners, hashes))
+        hashes, starts, owners = hashes[order], starts[order], owners[order]
+        new = np.ones(len(starts), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        for k in range(n):  # of equal hashes, different words: windows of their own
+            new[1:] |= self.ids[starts[1:] + k] != self.ids[starts[:-1] + k]
+        at = np.flatnonzero(new)
+        return hashes[at], starts[at], np.append(at, len(starts)), owners
+
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, tuple[np.ndarray, ...]]]:
+        """(starts, length, rows of the table, table) of the verified windows in ``ids``; -1 stands for a word of no item."""
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        for n, (hashes, rows, owners) in self.tables.items():
+        for n, table in self.tables.items():
             if len(ids) < n:
                 continue
             whole = np.flatnonzero(known[n:] - known[:-n] == n)
             if not len(whole):
                 continue
-            own = np.zeros(len(whole), dtype=np.uint64)
-            for k in range(n):
-                own += (ids[whole + k].astype(np.uint64) + np.uint64(1)) * FACTORS[k]
-            own ^= own >> np.uint64(29)
-            own *= np.uint64(0x9E3779B97F4A7C15)
+            hashes, starts, *_ = table
+            own = mixed(ids, whole, n)
             lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
-            for j in np.flatnonzero(lo < hi):
-                at = int(whole[j])
-                for r in range(lo[j], hi[j]):
-                    if np.array_equal(rows[r], ids[at : at + n]):
-                        yield at, n, owners[r]
+            many = hi - lo
+            at = np.repeat(whole, many)
+            rows = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            for k in range(n):
+                same = self.ids[starts[rows] + k] == ids[at + k]
+                at, rows = at[same], rows[same]
+            if len(at):
+                yield at, n, rows, table
+
+
+_held: tuple[object, Index] | None = None
+
+
+def index_of(block) -> Index:
+    """The index of a broadcast block. A worker keeps the last one, and not the block."""
+    global _held
+    if _held is None or _held[0] is not block:
+        _held = None
+        _held = block, Index(block.value)
+        vars(block).pop("_value", None)
+    return _held[1]
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string()))])
@@ -115,20 +147,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find(index: Index, texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """Number of words, merged hit spans and items of each text."""
     look = index.vocabulary.get
-    ids: list[int] = []
-    starts, counts = [], []
+    parts, counts = [], []
     for text in texts:
         own = words(text)
-        starts.append(len(ids))
         counts.append(len(own))
-        ids.extend([look(w, -1) for w in own])
-        ids.append(-1)  # no window spans two documents
+        parts += [np.fromiter((look(w, -1) for w in own), dtype=np.int32, count=len(own)), np.full(1, -1, dtype=np.int32)]  # no window spans two documents
+    starts = np.cumsum(counts) - counts + np.arange(len(counts))
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[int]] = [set() for _ in texts]
-    for at, n, owners in index.hits(np.array(ids, dtype=np.int64)):
-        doc = int(np.searchsorted(starts, at, "right")) - 1
-        spans[doc].append((at - starts[doc], at - starts[doc] + n))
-        items[doc] |= owners
+    for at, n, rows, (_, _, edges, owners) in index.hits(np.concatenate([*parts, np.zeros(0, dtype=np.int32)])):
+        docs = np.searchsorted(starts, at, "right") - 1
+        for doc in np.unique(docs).tolist():
+            own = docs == doc
+            begin = np.unique(at[own] - starts[doc])
+            gaps = np.flatnonzero(np.diff(begin) > n)  # windows that overlap or touch are one stretch
+            spans[doc] += zip(begin[np.append(0, gaps + 1)].tolist(), (begin[np.append(gaps, len(begin) - 1)] + n).tolist(), strict=True)
+            for r in np.unique(rows[own]).tolist():
+                items[doc].update(owners[edges[r] : edges[r + 1]].tolist())
     return [(n, merged(s), [index.names[k] for k in sorted(i)]) for n, s, i in zip(counts, spans, items, strict=True)]
 
 
@@ -141,10 +176,8 @@ def found_in(batches: Iterator[pa.RecordBatch], text: str, shared: list) -> Iter
     """Slices of ``batches`` and what :func:`find` gives for their texts over all blocks; one index is held at a time."""
     texts = lambda batch: batch.column(text).cast(pa.binary()).to_pylist()
     if len(shared) == 1:
-        index = None
         for batch in common.slices(batches, text):
-            index = index or Index(shared[0].value)
-            yield batch, find(index, texts(batch))
+            yield batch, find(index_of(shared[0]), texts(batch))
         return
     with tempfile.TemporaryFile() as kept:
         writer = None
@@ -157,8 +190,7 @@ def found_in(batches: Iterator[pa.RecordBatch], text: str, shared: list) -> Iter
         spans: dict[int, list[tuple[int, int]]] = {}  # of the rows that have hits, by their place
         items: dict[int, set[str]] = {}
         for block in shared:
-            index = Index(block.value)
-            vars(block).pop("_value", None)  # else the worker would hold all blocks
+            index = index_of(block)
             kept.seek(0)
             at = 0
             for batch in pa.ipc.open_stream(kept):

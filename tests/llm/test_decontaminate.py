@@ -77,3 +77,37 @@ def test_every_row_is_judged_alone(spark):
         assert sorted((tuple(r) for r in dc.judge(dc.scan(d, b, block_bytes=size)).collect()), key=str) == want
         kept = [tuple(r) for r in dc.clean(d, b, block_bytes=size).collect()]
         assert sorted(kept, key=str) == sorted([(k, t) for k, t in texts if not brute([(k, t)], items)[k][4]], key=str)
+
+
+def test_hashes_that_collide_are_told_apart(monkeypatch):
+    monkeypatch.setattr(dc, "mixed", lambda ids, starts, n: ids[starts].astype("uint64") % 2)
+    rng = random.Random(5)
+    items = [(f"i{k % 9}", " ".join(rng.choice("abcd") for _ in range(rng.choice([1, 2, 13, 15, 20])))) for k in range(30)]
+    docs = [(k, " ".join(rng.choice("abcde") for _ in range(200)) + " " + items[k][1]) for k in range(20)]
+    found = dc.find(dc.Index([(i, t.encode()) for i, t in items]), [t.encode() for _, t in docs])
+    want = brute(docs, items)
+    assert {k: (n, sum(b - a for a, b in s), len(i)) for (k, _), (n, s, i) in zip(docs, found, strict=True)} == {k: v[:3] for k, v in want.items()}
+
+
+def test_index_of_a_large_benchmark():
+    import time
+    import tracemalloc
+
+    rng = random.Random(6)
+    vocabulary = [f"{rng.randrange(10**6):x}" for _ in range(30000)]
+    items = [(str(k), " ".join(rng.choices(vocabulary, k=300)).encode()) for k in range(4000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    began = time.perf_counter()
+    index = dc.Index(items)
+    assert time.perf_counter() - began < 4 * size / 1e6
+    assert tracemalloc.get_traced_memory()[0] < 10 * size
+    tracemalloc.stop()
+    text = b"some words before " + items[7][1] + b" and after"
+    assert dc.find(index, [text]) == [(305, [(3, 303)], ["7"])]
+
+
+def test_one_very_long_text(spark):
+    d = spark.createDataFrame([(1, "plain words only " * 200_000 + "one two three")], "doc_id long, text string")
+    b = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    assert [(r.n_words, [tuple(s) for s in r.spans]) for r in dc.scan(d, b).collect()] == [(600_003, [(600_000, 600_003)])]
