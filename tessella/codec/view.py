@@ -15,7 +15,7 @@ STAMP = 26
 PALETTE_TAG, IMAGE_TAG, ROWS_TAG, END_TAG = 0x0300, 0x0400, 0x0500, 0x0600
 LOOP_HEADER, CEL_HEADERS, PALETTE_HEADER = 16, (0x24, 0x34), 37
 FLAGS_A, FLAGS_B, CEL_FLAGS, EXTRA, FILL = 0xFF01, 0x0030, 0x8A, 0x0084, 0x03FFFFFF
-VARIANTS = {"A": 0x10, "B": 0x12}
+VARIANTS = {"A": 0x12, "B": 0x10}  # sizes of the header; that of A ends with one more field
 TRANSPARENT, MOST, RUN = 255, 63, 3
 DEFAULT_STAMP = b"\x80\x80" + bytes(STAMP - 2)
 
@@ -40,8 +40,11 @@ class Loop:
 class View:
     loops: list[Loop]
     palette: list[tuple[int, int, int]]
-    variant: str = "B"
+    variant: str = "A"
     resolution: tuple[int, int] = (640, 480)
+    flags: tuple[int, int] = (FLAGS_A, FLAGS_B)
+    cel_header: int = CEL_HEADERS[1]
+    extra: int = EXTRA
 
 
 # -- rows
@@ -107,6 +110,7 @@ def check(view: View) -> None:
     """What a file can hold."""
     need(bool(view.loops), "no loops")
     need(len(view.palette) == 256, "256 palette entries expected")
+    need(view.variant in VARIANTS and view.cel_header in CEL_HEADERS, "unknown view header")
     for loop in view.loops:
         if loop.mirror_of is not None:
             need(not loop.cels, "a mirror has no cels")
@@ -121,7 +125,7 @@ def encode(view: View, stamp: bytes = DEFAULT_STAMP) -> bytes:
     check(view)
     need(len(stamp) == STAMP, "a stamp has 26 bytes")
     size = VARIANTS[view.variant]
-    stride = CEL_HEADERS[view.variant == "B"]
+    stride = view.cel_header
     cels = [c for loop in view.loops for c in loop.cels]
     tables = 2 + size + LOOP_HEADER * len(view.loops)
     palette_at = tables + stride * len(cels)
@@ -133,9 +137,9 @@ def encode(view: View, stamp: bytes = DEFAULT_STAMP) -> bytes:
     control_at = palette_at + len(palette) + 6
     data_at = control_at + sum(a for a, _ in sizes)
     rows_at = data_at + sum(b for _, b in sizes) + 6
-    out = [stamp, struct.pack("<HHHHIBBHH", size, len(view.loops), FLAGS_A, FLAGS_B, palette_at, LOOP_HEADER, stride, *view.resolution)]
-    if view.variant == "B":
-        out.append(struct.pack("<H", EXTRA))
+    out = [stamp, struct.pack("<HHHHIBBHH", size, len(view.loops), *view.flags, palette_at, LOOP_HEADER, stride, *view.resolution)]
+    if view.variant == "A":
+        out.append(struct.pack("<H", view.extra))
     # a mirror points at the cels of the next loop of images, or at the end of all
     starts, n = [], 0
     for loop in view.loops:
@@ -163,13 +167,14 @@ def encode(view: View, stamp: bytes = DEFAULT_STAMP) -> bytes:
 def decode(file: bytes) -> View:
     need(len(file) >= STAMP + 18, "file too short")
     body = memoryview(file)[STAMP:]
-    size, loops, _, _, _, loop_header, stride, *resolution = struct.unpack_from("<HHHHIBBHH", body, 0)
+    size, loops, flag_a, flag_b, _, loop_header, stride, *resolution = struct.unpack_from("<HHHHIBBHH", body, 0)
     variant = next((k for k, v in VARIANTS.items() if v == size), None)
     need(variant is not None, "unknown view header")
     need(loop_header == LOOP_HEADER and stride in CEL_HEADERS, "unknown header sizes")
     need(loops > 0, "no loops")
     at = 2 + size
     need(len(body) >= at + LOOP_HEADER * loops, "loop headers cut off")
+    extra = struct.unpack_from("<H", body, at - 2)[0] if variant == "A" else EXTRA
     found = []
     for k in range(loops):
         b = body[at + LOOP_HEADER * k : at + LOOP_HEADER * (k + 1)]
@@ -201,4 +206,4 @@ def decode(file: bytes) -> View:
             c, d = body[control_at : control_at + control], body[data_at : data_at + both - control]
             cels.append(Cel(w, h, b"".join(decode_row(c[offsets[r] :], d[offsets[h + r] :], w, transparent) for r in range(h)), x, y, transparent))
         out.append(Loop(cels, mirror_of))
-    return View(out, palette, variant, tuple(resolution))
+    return View(out, palette, variant, tuple(resolution), (flag_a, flag_b), stride, extra)

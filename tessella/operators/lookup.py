@@ -1,12 +1,12 @@
 """Palette lookups: exact first, then nearest, on distinct colours only.
 
-A palette is at most 256 rows, so it is always broadcast. Nearest lookups cost (distinct colours) x (entries), and there
-are at most 2**24 distinct colours, however many pixels.
+A palette is at most 256 rows, so it is always broadcast. A colour is compared with the entries that may be nearest to a
+colour of its cell, one of 512 in the colour cube; there are at most 2**24 distinct colours, however many pixels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import color
@@ -14,6 +14,8 @@ from tessella.functions import color
 #: The last entry is never matched.
 MATCHED = 255
 TRANSPARENT = 255
+#: Upper bits of each channel that name a cell.
+CELL_BITS = 3
 
 
 def keyed(palette: DataFrame) -> DataFrame:
@@ -21,13 +23,40 @@ def keyed(palette: DataFrame) -> DataFrame:
     return palette.where(F.col("idx") < MATCHED).groupBy(color.pack(F.col("r"), F.col("g"), F.col("b")).alias("rgb")).agg(F.min("idx").alias("idx"))
 
 
+def cell_of(rgb: Column) -> Column:
+    """The cell of the colour cube that a colour lies in: the upper bits of its channels."""
+    r, g, b = (F.shiftright(c, 8 - CELL_BITS) for c in color.unpack(rgb))
+    return F.shiftleft(r, 2 * CELL_BITS).bitwiseOR(F.shiftleft(g, CELL_BITS)).bitwiseOR(b)
+
+
+def candidates(cells: DataFrame, entries: DataFrame, *keys: str) -> DataFrame:
+    """(keys, cell, idx, pr, pg, pb): the entries that can be nearest to a colour of one of ``cells``, by ``keys`` if there are many palettes.
+
+    Those are no farther from the cell's nearest corner than some entry is from its farthest. At most 512 x 255 rows a palette."""
+    side, mask = 1 << (8 - CELL_BITS), (1 << CELL_BITS) - 1
+    own = cells.select(*keys, "cell").distinct()
+    palettes = entries.select(*keys, "idx", *[F.col(c).alias(f"p{c}") for c in "rgb"])
+    pairs = own.join(palettes, list(keys)) if keys else own.crossJoin(F.broadcast(palettes))  # a palette: at most 256 rows
+    near = far = F.lit(0)
+    for shift, c in zip((2, 1, 0), "rgb", strict=True):
+        low = F.shiftright("cell", shift * CELL_BITS).bitwiseAND(mask) * side
+        below, above = low - F.col(f"p{c}"), F.col(f"p{c}") - (low + side - 1)
+        out, across = F.greatest(below, above, F.lit(0)), F.greatest(-below, -above)
+        near, far = near + out * out, far + across * across
+    within = Window.partitionBy(*keys, "cell")
+    return pairs.withColumn("near", near).withColumn("least", F.min(far).over(within)).where("near <= least").select(*keys, "cell", "idx", "pr", "pg", "pb")
+
+
+def key_of(rgb: Column) -> Column:
+    """Distance to a candidate and its index in one integer (the distance is under 2**18): a minimum of it is a hash aggregate."""
+    return color.squared_distance(color.unpack(rgb), (F.col("pr"), F.col("pg"), F.col("pb"))) * 256 + F.col("idx")
+
+
 def nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
     """(rgb, idx, d2) of each distinct ``rgb``: the least squared distance, of equals the lowest index."""
-    own = colors.select("rgb").distinct()
-    pal = F.broadcast(palette.where(F.col("idx") < MATCHED).select(F.col("idx"), F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb")))
-    d2 = color.squared_distance(color.unpack(F.col("rgb")), (F.col("pr"), F.col("pg"), F.col("pb")))
-    # distance and index in one integer (d2 < 2**18): the minimum is a hash aggregate
-    best = own.crossJoin(pal).groupBy("rgb").agg(F.min(d2 * 256 + F.col("idx")).alias("k"))
+    own = colors.select("rgb").distinct().withColumn("cell", cell_of(F.col("rgb")))
+    near = F.broadcast(candidates(own, palette.where(F.col("idx") < MATCHED)))
+    best = own.join(near, "cell").groupBy("rgb").agg(F.min(key_of(F.col("rgb"))).alias("k"))
     return best.select("rgb", F.col("k").bitwiseAND(255).alias("idx"), F.shiftright("k", 8).alias("d2"))
 
 

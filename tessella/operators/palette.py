@@ -20,8 +20,9 @@ def grey_ramp(spark: SparkSession) -> DataFrame:
 
 
 def padded(entries: DataFrame) -> DataFrame:
-    """256 rows: entries beyond the end go, missing ones are black."""
-    own = F.broadcast(entries.where(F.col("idx").between(0, SIZE - 1)))
+    """256 rows: entries beyond the end go, missing ones are black; of entries with one index the largest counts."""
+    one = entries.where(F.col("idx").between(0, SIZE - 1)).groupBy("idx").agg(F.max(F.struct(*CHANNELS)).alias("e"))
+    own = F.broadcast(one.select("idx", "e.*"))  # at most 256 rows
     return slots(entries.sparkSession).join(own, "idx", "left").select("idx", *[F.coalesce(c, F.lit(0)).alias(c) for c in CHANNELS])
 
 

@@ -9,13 +9,13 @@ keeps the place of the box, the second goes to the end. The widest box is cut; o
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import color
+from tessella.shipping import ship
 
 WHITE = (255, 255, 255)
 
@@ -175,6 +175,8 @@ def _as_rows(img: int, table: np.ndarray) -> pd.DataFrame:
 def palettes(pixels: DataFrame, form: str = "picture", merge_radius: int | None = None) -> DataFrame:
     """(img, idx, r, g, b), 256 rows an image; ``form`` is ``picture`` or ``view``. Works on distinct colours."""
 
+    ship(pixels.sparkSession)
+
     def of(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ord")
         table = (picture_palette if form == "picture" else view_palette)(part[["r", "g", "b"]].to_numpy())
@@ -189,6 +191,8 @@ def palettes(pixels: DataFrame, form: str = "picture", merge_radius: int | None
 def merged_palettes(entries: DataFrame, wanted: int = 256, radius: int = 6) -> DataFrame:
     """Near-duplicate merging of palettes (img, idx, r, g, b, n); a group is a palette."""
 
+    ship(entries.sparkSession)
+
     def of(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx")
         table = merge_near([tuple(c) for c in part[["r", "g", "b"]].to_numpy()], part["n"].tolist(), wanted, radius)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import binary, color
-from tessella.operators import quantize, resample
+from tessella.operators import lookup, quantize, resample
+from tessella.shipping import ship
 from tessella.sources import build
 
 _RGB = ("r", "g", "b")
@@ -25,6 +26,7 @@ def _with_rgb(pixels: DataFrame) -> DataFrame:
 
 def _palettes(colors: DataFrame, form: str, merge_radius: int | None) -> DataFrame:
     """(path, palette, rgb as hex) of distinct colours (path, r, g, b, ord); a group is one image's colours."""
+    ship(colors.sparkSession)
 
     def of(part: pd.DataFrame) -> pd.DataFrame:
         own = part.sort_values("ord")[list(_RGB)].to_numpy()
@@ -42,12 +44,21 @@ def _nearest(colors: DataFrame, tables: DataFrame) -> DataFrame:
     entries = tables.select("path", "table", at.alias("idx")).select("path", "idx", *[binary.u8(F.col("table"), F.col("idx") * 3 + k).alias(f"p{c}") for k, c in enumerate(_RGB)])
     first = entries.groupBy("path", color.pack(F.col("pr"), F.col("pg"), F.col("pb")).alias("rgb")).agg(F.min("idx").alias("hit"))
     seen = colors.select("path", "rgb").distinct().join(first, ["path", "rgb"], "left")
-    # only colours that no entry equals are compared with all of their palette
-    d2 = color.squared_distance(color.unpack(F.col("rgb")), (F.col("pr"), F.col("pg"), F.col("pb")))
-    miss = seen.where("hit is null").join(entries, "path").groupBy("path", "rgb").agg(F.min(d2 * 256 + F.col("idx")).bitwiseAND(255).alias("idx"))
+    # only colours that no entry equals are compared, with the entries near their cell
+    miss = seen.where("hit is null").withColumn("cell", lookup.cell_of(F.col("rgb")))
+    near = lookup.candidates(miss, entries.select("path", "idx", *[F.col(f"p{c}").alias(c) for c in _RGB]), "path")
+    miss = miss.join(near, ["path", "cell"])
+    miss = miss.groupBy("path", "rgb").agg(F.min(lookup.key_of(F.col("rgb"))).bitwiseAND(255).alias("idx"))
     return seen.where("hit is not null").select("path", "rgb", F.col("hit").alias("idx")).unionByName(miss)
 
 
+def looked_up(pixels: DataFrame, merge_radius: int | None = None) -> DataFrame:
+    """(path, rgb, idx): each distinct colour of pixels (path, pos, r, g, b) in its own image's picture palette."""
+    rgb = color.pack(*map(F.col, _RGB)).alias("rgb")
+    colors = pixels.groupBy("path", rgb, *_RGB).agg(F.min("pos").alias("ord"))
+    return _nearest(colors, _palettes(colors, "picture", merge_radius))
+
+
 def _packed(order: Column) -> Column:
     return F.unhex(binary.joined(order, F.lpad(F.hex("v"), 2, "0")))
 
@@ -66,8 +77,10 @@ def pictures_from_pixels(pixels: DataFrame, merge_radius: int | None = None, to:
     return build.picture_files(made.select("path", "pixels", table.alias("palette"), F.lit(to[0]).alias("width"), F.lit(to[1]).alias("height")))
 
 
-def views_from_pixels(pixels: DataFrame, mirrors: DataFrame | None = None, variant: str = "B") -> DataFrame:
-    """(path, content) of view files; the palette is that of the first cel of the first loop, mirrors are (path, loop, mirror_of)."""
+def views_from_pixels(pixels: DataFrame, mirrors: DataFrame | None = None, **options) -> DataFrame:
+    """(path, content) of view files; the palette is that of the first cel of the first loop, mirrors are (path, loop, mirror_of).
+
+    ``options`` are those of :func:`build.view_files`."""
     own = _with_rgb(pixels).withColumn("opaque", color.is_opaque(F.col("argb")))
     first = own.where("loop = 0 and cel = 0 and opaque").groupBy("path", "rgb", *_RGB).agg(F.min(F.struct("y", "x")).alias("ord"))
     tables = _palettes(first.select("path", *_RGB, (F.col("ord.y") * 65536 + F.col("ord.x")).alias("ord")), "view", None)
@@ -79,4 +92,4 @@ def views_from_pixels(pixels: DataFrame, mirrors: DataFrame | None = None, varia
         blank = {"cel": F.lit(0), "width": F.lit(0), "height": F.lit(0), "pixels": F.lit(None).cast("binary"), "kind": F.lit("mirror")}
         frames = frames.unionByName(mirrors.select("path", "loop", "mirror_of").withColumns(blank))
     made = frames.join(tables.select("path", F.hex("table").alias("palette")), "path").withColumns({"x_hot": F.lit(0), "y_hot": F.lit(0), "transparent": F.lit(255)})
-    return build.view_files(made, variant)
+    return build.view_files(made, **options)

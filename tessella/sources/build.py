@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.codec import picture, png, view
 from tessella.functions import binary, paths
+from tessella.shipping import ship
 
 #: RIFF sizes and version, the block's size and header, as little-endian hex.
 RIFF_HEAD = "52494646" + "10040000" + "50414C20" + "64617461" + "04040000" + "0003" + "0001"
@@ -33,6 +35,7 @@ def content(files: DataFrame) -> DataFrame:
 
 def picture_files(canvases: DataFrame) -> DataFrame:
     """(path, content) of (path, pixels binary, palette array<struct<r,g,b>>, width, height): each row by itself."""
+    ship(canvases.sparkSession)
 
     def run(parts):
         for part in parts:
@@ -42,10 +45,11 @@ def picture_files(canvases: DataFrame) -> DataFrame:
     return canvases.mapInPandas(run, "path string, content binary")
 
 
-def view_files(frames: DataFrame, variant: str = "B", resolution: tuple[int, int] = view.View.resolution) -> DataFrame:
+def view_files(frames: DataFrame, variant: str = view.View.variant, resolution: tuple[int, int] = view.View.resolution, stamp: bytes = view.DEFAULT_STAMP, flags: tuple[int, int] = view.View.flags, cel_header: int = view.View.cel_header, extra: int = view.View.extra) -> DataFrame:
     """(path, content) of frames (path, loop, cel, kind, mirror_of, width, height, x_hot, y_hot, transparent, pixels, palette).
 
-    A group is one view, which is one file."""
+    A group is one view, which is one file; the options are those of its header."""
+    ship(frames.sparkSession)
 
     def of(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["loop", "cel"])
@@ -56,14 +60,24 @@ def view_files(frames: DataFrame, variant: str = "B", resolution: tuple[int, int
             else:
                 loops.append(view.Loop([view.Cel(int(r.width), int(r.height), bytes(r.pixels), int(r.x_hot), int(r.y_hot), int(r.transparent)) for r in own.itertuples()]))
         colors = bytes.fromhex(part["palette"].iloc[0])
-        v = view.View(loops, [tuple(colors[3 * i : 3 * i + 3]) for i in range(256)], variant, resolution)
-        return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [view.encode(v)]})
+        v = view.View(loops, [tuple(colors[3 * i : 3 * i + 3]) for i in range(256)], variant, resolution, flags, cel_header, extra)
+        return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [view.encode(v, stamp)]})
 
     return frames.groupBy("path").applyInPandas(of, "path string, content binary")
 
 
+def _rgba(palette: str, pixels: bytes, transparent: int | None = None) -> bytes:
+    """Opaque colours of indices, all zero at the transparent one."""
+    table = np.full((256, 4), 255, dtype=np.uint8)
+    table[:, :3] = np.frombuffer(bytes.fromhex(palette), dtype=np.uint8).reshape(256, 3)
+    if transparent is not None:
+        table[transparent] = 0
+    return table[np.frombuffer(bytes(pixels), dtype=np.uint8)].tobytes()
+
+
 def frame_dump(frames: DataFrame) -> DataFrame:
     """(path, content): a PNG for each image, an empty note for each mirror, below ``Cell{i}/Loop{j}/``."""
+    ship(frames.sparkSession)
 
     def run(parts):
         for part in parts:
@@ -72,9 +86,7 @@ def frame_dump(frames: DataFrame) -> DataFrame:
                 if r.kind == "mirror":
                     out.append(b"")
                     continue
-                colors = bytes.fromhex(r.palette)
-                pixels = b"".join(b"\0\0\0\0" if p == r.transparent else colors[3 * p : 3 * p + 3] + b"\xff" for p in bytes(r.pixels))
-                out.append(png.write(int(r.width), int(r.height), pixels))
+                out.append(png.write(int(r.width), int(r.height), _rgba(r.palette, r.pixels, int(r.transparent))))
             yield pd.DataFrame({"path": part["to"], "content": out})
 
     named = frames.withColumn("to", F.concat(paths.stem(F.col("path")), F.lit("/"), paths.frame_path(F.coalesce("cel", F.lit(0)), F.col("loop"), F.col("mirror_of"))))
@@ -83,13 +95,13 @@ def frame_dump(frames: DataFrame) -> DataFrame:
 
 def picture_images(pictures: DataFrame) -> DataFrame:
     """(path, content): the PNG of each decoded picture (path, width, height, pixels, palette as hex)."""
+    ship(pictures.sparkSession)
 
     def run(parts):
         for part in parts:
             out = []
             for r in part.itertuples():
-                colors = bytes.fromhex(r.palette)
-                out.append(png.write(int(r.width), int(r.height), b"".join(colors[3 * p : 3 * p + 3] + b"\xff" for p in bytes(r.pixels))))
+                out.append(png.write(int(r.width), int(r.height), _rgba(r.palette, r.pixels)))
             yield pd.DataFrame({"path": part["path"], "content": out})
 
     return pictures.select(F.concat(paths.stem(F.col("path")), F.lit(".png")).alias("path"), "width", "height", "pixels", "palette").mapInPandas(run, "path string, content binary")

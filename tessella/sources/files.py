@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tessella.codec import block, picture, riff, view
 from tessella.codec.errors import FormatError
+from tessella.functions import binary as fields
+from tessella.functions import paths
 from tessella.shipping import ship
 
 ENTRIES = "array<struct<r:int,g:int,b:int,meta:int>>"
@@ -37,7 +39,7 @@ def parsed(files: DataFrame, parse: Callable[[bytes], list[dict]], fields: str,
                     if strict:
                         raise FormatError(f"{path}: {e}") from e
                     rows, error = [{}], str(e)
-                out = pd.DataFrame(rows, columns=names)
+                out = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
                 out.insert(0, "path", path)
                 out["error"] = error
                 yield out
@@ -80,22 +82,26 @@ def pictures(files: DataFrame, strict: bool = True) -> DataFrame:
     return parsed(files, one, "width int, height int, pixels binary, palette string", strict)
 
 
-def frames(files: DataFrame, strict: bool = True) -> DataFrame:
-    """A row for each cel, and one for each mirror: its pixels stay where they are referred to."""
+def frames(files: DataFrame, strict: bool = True, pad: bool = False) -> DataFrame:
+    """A row for each cel, and one for each mirror: its pixels stay where they are referred to.
+
+    With ``pad`` every loop has as many rows as the longest: a mirror has its row at each place, and a place that a loop of
+    images lacks mirrors the loop itself."""
 
     def all_of(d: bytes) -> list[dict]:
         v = view.decode(d)
         colors = b"".join(bytes(c) for c in v.palette).hex().upper()
-        out = []
+        out, most = [], max([1, *(len(loop.cels) for loop in v.loops)])
         for k, loop in enumerate(v.loops):
             base = {"variant": v.variant, "loop": k, "mirror_of": loop.mirror_of, "palette": colors}
-            if loop.mirror_of is not None:
+            if pad:
+                out += [base | {"kind": "mirror", "cel": j, "mirror_of": k if loop.mirror_of is None else loop.mirror_of} for j in range(len(loop.cels), most)]
+            elif loop.mirror_of is not None:
                 out.append(base | {"kind": "mirror"})
             out += [base | {"kind": "image", "cel": j, "width": c.width, "height": c.height, "x_hot": c.x_hot, "y_hot": c.y_hot, "transparent": c.transparent, "pixels": c.pixels} for j, c in enumerate(loop.cels)]
         return out
 
-    got = parsed(files, all_of, "variant string, loop double, mirror_of double, palette string, kind string, cel double, width double, height double, x_hot double, y_hot double, transparent double, pixels binary", strict)
-    return got.select(*[F.when(~F.isnan(c), F.col(c)).cast("int").alias(c) if t == "double" else F.col(c) for c, t in got.dtypes])
+    return parsed(files, all_of, "variant string, loop int, mirror_of int, palette string, kind string, cel int, width int, height int, x_hot int, y_hot int, transparent int, pixels binary", strict)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
@@ -104,12 +110,19 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_pixels(loaded: DataFrame) -> DataFrame:
-    """(path, x, y, argb) of :func:`images`' rows, unpacked in the JVM."""
+    """(path, x, y, argb) of :func:`images`' rows, unpacked in the JVM: images to rows of bytes, and those to pixels."""
     n = F.col("channels")
-    own = loaded.select("path", "width", n.alias("n"), F.hex("data").alias("h"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("k"))
-    part = lambda c: F.conv(F.substring(F.col("h"), F.col("k") * F.col("n") * 2 + 2 * c + 1, F.lit(2)), 16, 10).cast("int")
-    grey = F.col("n") == 1
+    rows = loaded.where("width > 0 and height > 0").select("path", "width", "channels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    rows = rows.select("path", "width", "channels", "y", F.col("data").substr(F.col("y") * F.col("width") * n + 1, F.col("width") * n).alias("row"))
+    own = rows.select("path", "channels", "y", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    part = lambda c: fields.u8(F.col("row"), F.col("x") * n + c)
+    grey = n == 1
     b, g, r = part(0), F.when(grey, part(0)).otherwise(part(1)), F.when(grey, part(0)).otherwise(part(2))
-    a = F.when(F.col("n") == 4, part(3)).otherwise(F.lit(255))
+    a = F.when(n == 4, part(3)).otherwise(F.lit(255))
     pixel = F.shiftleft(a, 24).bitwiseOR(F.shiftleft(r, 16)).bitwiseOR(F.shiftleft(g, 8)).bitwiseOR(b)
-    return own.select("path", F.expr("int(k % width)").alias("x"), F.expr("int(k div width)").alias("y"), pixel.alias("argb"))
+    return own.select("path", "x", "y", pixel.alias("argb"))
+
+
+def loop_images(spark: SparkSession, folder: str) -> DataFrame:
+    """The images of a folder whose names have a loop's number, like ``102-3-0.bmp``: :func:`images`' columns and ``loop``."""
+    return images(spark, folder).withColumn("loop", paths.loop_of(F.col("path"))).where("loop is not null")

@@ -34,14 +34,8 @@ def test_equals_sql(spark, duck, name):
     assert got
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.ORACLE])
-def test_gives_whole_palettes(spark, name):
-    rows = catalog.QUERIES[name](spark, SF).collect()
-    sizes = {}
-    for r in rows:
-        sizes[r.img] = sizes.get(r.img, 0) + 1
-        assert all(0 <= r[c] <= 255 for c in "rgb")
-    assert set(sizes.values()) == ({64} if name == "palette_dedupe" else {256})
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
 
 
 def test_plans_stay_in_the_jvm(spark):

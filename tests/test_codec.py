@@ -72,9 +72,9 @@ def cel(w, h):
     return view.Cel(w, h, bytes(rng.choice([255, 255, 3, 3, 3, 7, rng.randrange(256)]) for _ in range(w * h)), -2, 5)
 
 
-@pytest.mark.parametrize("variant", ["A", "B"])
-def test_view_round_trip(variant):
-    v = view.View([view.Loop(mirror_of=1), view.Loop([cel(2, 2), cel(200, 3)]), view.Loop([cel(7, 7)]), view.Loop(mirror_of=2)], COLORS, variant)
+@pytest.mark.parametrize("variant,more", [("A", ()), ("B", ()), ("A", ((320, 200), (0x0101, 7), 0x24, 99))])
+def test_view_round_trip(variant, more):
+    v = view.View([view.Loop(mirror_of=1), view.Loop([cel(2, 2), cel(200, 3)]), view.Loop([cel(7, 7)]), view.Loop(mirror_of=2)], COLORS, variant, *more)
     assert view.decode(view.encode(v)) == v
 
 

@@ -31,20 +31,33 @@ def test_readers(spark, folder):
     assert files.scanned_palettes(files.binary(spark, folder, "*.blk")).count() == 256
 
 
+def test_rejects_of_every_reader(spark):
+    bad = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray())], "path string, content binary")
+    for read in (files.riff_palettes, files.block_palettes, files.pictures, files.frames):
+        assert {(r.path, r.error is None) for r in read(bad, strict=False).collect()} == {("a", False), ("b", False)}
+
+
 def test_header_queries_do_not_read_contents(spark, folder):
     plan = spark.read.format("binaryFile").load(folder).select("path", "length")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
 
 
 def test_sink_and_dump(spark, folder, tmp_path):
-    sink.register(spark)
     out = str(tmp_path / "out")
     frames = files.frames(files.binary(spark, folder, "*.v56"))
     for _ in range(2):  # writing again replaces
-        build.frame_dump(frames).write.format("tessella_files").mode("append").save(out)
+        assert sink.save(build.frame_dump(frames), out) == f"file:{out}"
     assert (tmp_path / "out/d/Cell0/Loop0/view_0_loop0.png").read_bytes() == png.write(2, 2, bytes((1, 254, 0, 255, 2, 253, 1, 255, 0, 0, 0, 0, 3, 252, 1, 255)))
     assert (tmp_path / "out/d/Cell0/Loop1/mirror_of_0.txt").exists()
-    assert not list((tmp_path / "out").rglob("*.part"))
+    assert not list((tmp_path / "out").glob("_job-*"))
+    one = spark.createDataFrame([("e.txt", bytearray(b"x"))], "path string, content binary")
+    with pytest.raises(Exception, match="whole URI"):
+        one.write.format("tessella_files").mode("append").save(out)
+    with pytest.raises(Exception, match="not a path below"):
+        sink.save(one.unionByName(one.selectExpr("'../y' AS path", "content")), out)
+    assert not list((tmp_path / "out").glob("_job-*")) and not (tmp_path / "out/e.txt").exists()
+    sink.save(one, out, mode="overwrite")
+    assert [p.name for p in (tmp_path / "out").rglob("*")] == ["e.txt"]
 
 
 def test_image_pixels(spark, tmp_path):
@@ -53,6 +66,21 @@ def test_image_pixels(spark, tmp_path):
     assert [r.argb & 0xFFFFFF for r in got] == [0x010203, 0x040506]
 
 
+def test_pixels_of_a_large_image(spark):
+    import time
+
+    import numpy as np
+
+    data = np.random.default_rng(3).integers(0, 256, (480, 640, 3), dtype=np.uint8)
+    loaded = spark.createDataFrame([("a", 640, 480, 3, bytearray(data.tobytes())), ("none", 0, 0, 3, bytearray())], "path string, width int, height int, channels int, data binary")
+    began = time.perf_counter()
+    got = files.image_pixels(loaded).groupBy("path").agg(F.count("*").alias("n"), F.sum(F.col("argb").bitwiseAND(0xFFFFFF).cast("long") * (1 + F.col("x") + 640 * F.col("y"))).alias("s")).first()
+    assert time.perf_counter() - began < 60
+    own = data.astype(np.int64)
+    rgb = own[:, :, 2] << 16 | own[:, :, 1] << 8 | own[:, :, 0]
+    assert (got.n, got.s) == (480 * 640, int((rgb.reshape(-1) * (1 + np.arange(480 * 640))).sum()))
+
+
 def test_stream_of_files(spark, folder, tmp_path):
     got = files.riff_palettes(ingest.arriving(spark, folder, "a.pal"))
     q = got.writeStream.format("memory").queryName("arrived").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
