@@ -3,17 +3,23 @@
 Sets are of 64-bit shingle hashes. Two sets can only reach the threshold if they share a token among the rarest tokens of
 each (their prefixes, under one global order); how deep depends on both sizes.
 
-1. A fixed-size table of counts over all documents orders the tokens, rare ones first.
+1. A table of counts over all documents orders the tokens, rare ones first. It has a cell for about every 2 KB of text,
+   from 2**18 to 2**24 cells, so the order tells common tokens from rare ones at any size.
 2. Documents of equal sets form a class; one of each class goes on.
 3. Groups of similar documents: each token's leader is the document in whose order it comes first; a document is verified
    against the leaders of its tokens, and those that link are one group. A group of any size costs its members, not pairs.
 4. The token-group matrix holds, for each token and group, the union of its members' prefixes with the bounds of their
-   sizes and places. A document asks for its tokens in groups other than its own (of two groups the smaller one at that
-   token asks) and the bounds tell which groups might hold a partner. Only those are opened and verified.
+   sizes and places. A document asks for all its tokens in groups larger than its own (of equal ones, those of a larger
+   number), and its overlap with a group's union is counted before the group is looked into. Linked sets have a least
+   number of tokens in common in their prefixes, so a group whose union holds fewer is not opened. Members of the
+   qualifying groups are verified.
 5. Links of both rounds are united to components.
 
 Verification first counts what the prefixes have in common, which rules out chance meetings, then the sets' common
-shingles. Sets are computed again from the texts for the documents in question, picked by a bitmap of fixed size.
+shingles. Of a pair, the end with fewer pairs takes its set to the other end, whose set is copied once for STAR pairs, so a
+star's centre is never copied for each of its members. Sets are computed again from the texts for the documents in
+question, picked by a bitmap of about 16 bits for each of them and at most 2**27: beyond some 16 M such documents it lets
+others pass too, whose sets are shuffled and dropped.
 
 Defined results
 ---------------
@@ -25,6 +31,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -61,16 +68,27 @@ class Rule(NamedTuple):
         size = lambda k: k - F.ceil(self.least * k / self.parts) + 1
         return F.least(self.need(n, m) - n + size(n), self.need(n, m) - m + size(m))
 
+    def least_overlap(self, n: Column, low: Column, high: Column) -> Column:
+        """The least of :meth:`shared_in_prefixes` for partners of ``low`` to ``high`` tokens.
+
+        The first of its two bounds rises with the partner's size; the second falls, but for a rounding of one."""
+        first = self.need(n, low) - F.ceil(self.least * n / self.parts) + 1
+        second = self.need(n, high) - F.ceil(self.least * high / self.parts)
+        return F.greatest(F.lit(1), F.least(first, second))
+
 
 #: The contract of op6: three words at 0.9.
 CONTRACT = Rule(3, 9, 10)
 #: The pipeline's stage: five words at 0.8.
 CORPUS = Rule(5, 4, 5)
 SHINGLE = CONTRACT.shingle
-SKETCH_BITS = 18
+#: Cells of the table of counts, as powers of two, and the bytes of text for each.
+LEAST_BITS, MOST_BITS, BYTES_PER_CELL = 18, 24, 2048
 SKETCH_SLICES = 16
-#: Bits of the map that picks documents whose sets are needed; a full map picks all.
-MAP_BITS = 23
+#: Bits of the map that picks documents whose sets are needed: for each document, and the powers of two at least and most.
+MAP_SHARE, LEAST_MAP, MOST_MAP = 16, 20, 27
+#: Pairs of one document for which its set is copied once.
+STAR = 512
 CACHE = 200_000
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -133,31 +151,53 @@ def _bytes(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def power(n: float, least: int, most: int) -> int:
+    """The power of two that is at least ``n``, within bounds."""
+    return min(most, max(least, math.ceil(math.log2(max(1, n)))))
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """The counts in the smallest type that holds them."""
+    return counts.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if not len(counts) or counts.max() <= np.iinfo(t).max))
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The order of the counts in 16 bits: themselves, or of larger ones how many of 65,536 even steps lie below."""
+    if counts.max(initial=0) < 1 << 16:
+        return counts.astype(np.uint16)
+    steps = np.sort(counts)[np.linspace(0, len(counts) - 1, 1 << 16).astype(np.int64)]
+    return (np.searchsorted(steps, counts, "right") - 1).astype(np.uint16)
+
+
 def sketch(docs: DataFrame, rule: Rule = CONTRACT) -> np.ndarray:
-    """Occurrences of all shingles by the top bits of their hash: 2**SKETCH_BITS counts, however large the input."""
-    each = (1 << SKETCH_BITS) // SKETCH_SLICES
+    """Levels of occurrence of all shingles by the top bits of their hash; at most 2**MOST_BITS of 16 bits each."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = power(size / BYTES_PER_CELL, LEAST_BITS, MOST_BITS)
+    each = (1 << bits) // SKETCH_SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = Shingler(rule.shingle), np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        own, total = Shingler(rule.shingle), np.zeros(1 << bits, dtype=np.int64)
         for batch in common.slices(batches, "text"):
             h, _ = own.hashes(_bytes(batch))
-            total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        yield pa.record_batch([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([total[k * each : (k + 1) * each].astype("<i8").tobytes() for k in range(SKETCH_SLICES)], pa.binary())], names=["slice", "counts"])
+            np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
+        parts = [narrow(total[k * each : (k + 1) * each]) for k in range(SKETCH_SLICES)]
+        yield pa.record_batch([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([x.itemsize for x in parts], pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slice", "width", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums[k] + np.frombuffer(c, "<i8") if k in sums else np.frombuffer(c, "<i8").copy()
-        if sums:
-            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    ddl = "slice int, counts binary"
-    parts = docs.select("text").mapInArrow(run, ddl).repartition(SKETCH_SLICES, "slice").mapInArrow(add, ddl).collect()
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+            for k, w, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                sums.setdefault(k, np.zeros(each, dtype=np.int64))
+                sums[k] += np.frombuffer(c, f"<u{w}").astype(np.int64)
+        for k, x in sums.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([8], pa.int32()), pa.array([x.astype("<u8").tobytes()], pa.binary())], names=["slice", "width", "counts"])
+
+    ddl = "slice int, width int, counts binary"
+    parts = docs.select("text").mapInArrow(run, ddl).repartition(SKETCH_SLICES, "slice").mapInArrow(add, ddl).toLocalIterator()
+    total = np.zeros(1 << bits, dtype=np.int64)
     for r in parts:
-        total[r.slice * each : (r.slice + 1) * each] += np.frombuffer(r.counts, "<i8")
-    return total
+        total[r.slice * each : (r.slice + 1) * each] += np.frombuffer(r.counts, "<u8").astype(np.int64)
+    return levels(total)
 
 
 def signed(sets: np.ndarray) -> np.ndarray:
@@ -173,6 +213,7 @@ def long_lists(parts: list[np.ndarray]) -> pa.Array:
 def prefixes(docs: DataFrame, counts: np.ndarray, rule: Rule = CONTRACT) -> DataFrame:
     """(doc_id, n, sig, prefix): the set's size, a digest of it, and its rarest tokens in order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shift = np.uint64(64 - (len(counts).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(rule.shingle)
@@ -182,7 +223,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, rule: Rule = CONTRACT) -> Data
             for s in sets:
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 k = rule.prefix_length(len(s)) if len(s) else 0
-                c = shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                c = shared.value[(s >> shift).astype(np.int64)]
                 if k < len(s):
                     near = np.flatnonzero(c <= np.partition(c, k - 1)[k - 1])
                     s, c = s[near], c[near]
@@ -193,14 +234,15 @@ def prefixes(docs: DataFrame, counts: np.ndarray, rule: Rule = CONTRACT) -> Data
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
-    """(id, tokens) of the documents in ``ids``. A bitmap of 2**MAP_BITS bits picks rows before their texts are worked on."""
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
+    """(id, tokens) of the documents in ``ids`` (distinct). A bitmap picks rows before their texts are worked on."""
+    bits = power(MAP_SHARE * ids.count(), LEAST_MAP, MOST_MAP)
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     size = 32768
-    maps = ids.select(place.alias("p")).groupBy(F.expr(f"int(p div {size})").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"p % {size}")).alias("bits")).collect()
-    bits = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
+    maps = ids.select(place.alias("p")).groupBy(F.expr(f"int(p div {size})").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"p % {size}")).alias("bits")).toLocalIterator()
+    marks = np.zeros((1 << bits) // 8, dtype=np.uint8)
     for r in maps:
-        bits[r.k * size // 8 : (r.k + 1) * size // 8] = np.frombuffer(r.bits, dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+        marks[r.k * size // 8 : (r.k + 1) * size // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
     own = docs.withColumnRenamed("doc_id", "id").where("id is not null").withColumn("p", place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,16 +256,26 @@ def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule = CONTRACT) -> DataFrame
     return own.select("id", "text", "p").mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])  # rows may repeat
 
 
+def beside(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    """(a, b, x, y): ``value`` of both ends of each pair. x is that of the end with more pairs, copied once for STAR of them."""
+    count = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c"))
+    both = pairs.join(count.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(count.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+    hub = F.col("ca") >= F.col("cb")
+    copies = F.ceil(F.greatest("ca", "cb") / STAR).cast("int")
+    both = both.select("a", "b", F.when(hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("spoke"), copies.alias("copies"))
+    both = both.withColumn("salt", F.pmod(F.xxhash64("spoke"), F.col("copies")).cast("int"))
+    centres = count.join(sets, "id").select(F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / STAR).cast("int") - 1)).alias("salt"), F.col(value).alias("x"))
+    return both.join(sets.select(F.col("id").alias("spoke"), F.col(value).alias("y")), "spoke").join(centres, ["hub", "salt"]).select("a", "b", "x", "y")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets reach the threshold. Their prefixes, a tenth of the sets, rule out most others."""
-    x, y = classes.alias("x"), classes.alias("y")
-    near = pairs.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b"))
+    near = beside(pairs, classes.select("id", F.struct("n", "prefix").alias("s")), "s")
     near = common.cut(near.where(F.size(F.array_intersect("x.prefix", "y.prefix")) >= rule.shared_in_prefixes(F.col("x.n"), F.col("y.n"))).select("a", "b"))
     sets = sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rule)
-    x, y = sets.alias("x"), sets.alias("y")
-    both = near.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b"))
-    same = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    return both.where(rule.parts * same >= rule.least * (F.size("x.tokens") + F.size("y.tokens") - same)).select("a", "b")
+    both = beside(near, sets, "tokens")
+    same = F.size(F.array_intersect("x", "y"))
+    return both.where(rule.parts * same >= rule.least * (F.size("x") + F.size("y") - same)).select("a", "b")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
@@ -243,16 +295,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
     links = common.cut(verified(near, sized, own, rule))
     groups = components(links)
 
-    grouped = rows.join(groups.select("id", "component"), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
-    cells = grouped.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first"))
-    split = cells.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("size", "grp")).alias("top")).where("c > 1").select("token", F.col("top.grp").alias("top"))
+    own_group = sized.select("id", "n").join(groups.select("id", "component"), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
+    members = common.cut(own_group.join(own_group.groupBy("grp").agg(F.count(F.lit(1)).alias("g")), "grp"))
+    grouped = rows.join(members.select("id", "grp", "g"), "id")
+    cells = grouped.groupBy("token", "grp", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first"))
+    split = cells.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("g", "grp")).alias("top")).where("c > 1").select("token", F.col("top.grp").alias("top"))
     cells = common.cut(cells.join(split, "token"))  # of tokens in more than one group
-    asking = cells.where("grp != top").select("token", "grp").join(grouped, ["token", "grp"]).select("token", F.col("grp").alias("q_grp"), F.col("id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("q_pos"))
-    # the smallest size of a partner that the group may hold asks for least
+    asking = grouped.join(split, "token").where("grp != top").select("token", F.col("g").alias("q_g"), F.col("grp").alias("q_grp"), F.col("id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("q_pos"))
+    # the sizes of partners that the group may hold; the smallest asks for least
     low = F.greatest(F.col("low"), F.ceil(rule.least * F.col("qn") / rule.parts))
-    fits = (low <= F.col("high")) & (rule.parts * F.col("qn") >= rule.least * low) & (F.col("q_pos") <= F.col("qn") - rule.need(F.col("qn"), low)) & (F.col("first") <= F.col("high") - rule.need(F.col("qn"), F.col("high")))
-    open_ = asking.join(cells.select("token", "grp", "low", "high", "first"), "token").where((F.col("grp") != F.col("q_grp")) & fits).select("token", "grp", "q", "qn", "q_pos")
-    met = open_.join(grouped.select("token", "grp", "id", "n", "pos"), ["token", "grp"]).where(rule.may_link(F.col("qn"), F.col("q_pos"), F.col("n"), F.col("pos"))).select(*pair(F.col("q"), F.col("id"))).distinct()
+    high = F.least(F.col("high"), F.floor(rule.parts * F.col("qn") / rule.least))
+    fits = (F.col("q_pos") <= F.col("qn") - rule.need(F.col("qn"), low)) & (F.col("first") <= F.col("high") - rule.need(F.col("qn"), F.col("high")))
+    larger = (F.col("g") > F.col("q_g")) | ((F.col("g") == F.col("q_g")) & (F.col("grp") > F.col("q_grp")))
+    seen = asking.join(cells.select("token", "grp", "g", "low", "high", "first"), "token").where(larger & (low <= high)).select("q", "qn", "grp", low.alias("low"), high.alias("high"), fits.alias("fits"))
+    overlap = seen.groupBy("q", "qn", "grp").agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("fits").alias("fits"))
+    opened = common.cut(overlap.where(F.col("fits") & (F.col("shared") >= rule.least_overlap(F.col("qn"), F.col("low"), F.col("high")))).select("q", "qn", "grp"))
+    alike = rule.parts * F.least("qn", "n") >= rule.least * F.greatest("qn", "n")
+    met = opened.join(members.select("grp", "id", "n"), "grp").where(alike).select(*pair(F.col("q"), F.col("id")))
     more = verified(common.cut(met.join(near, ["a", "b"], "left_anti")), sized, own, rule)
     found = components(links.unionByName(more))
 
@@ -267,13 +326,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rul
     rows that repeat stay once, and wordless rows all stay."""
     common.ready(docs)
     number, words = F.col(key).cast("long"), F.col(text).cast("string")
-    own = docs.withColumns({"__id": F.xxhash64(number, words), "__null": number.isNull(), "__key": number})
+    i, gone, k = common.unused(docs, "id", "null", "key")
+    own = docs.withColumns({i: F.xxhash64(number, words), gone: number.isNull(), k: number})
     worded = F.coalesce(words.rlike(r"[^\x09-\x0d\x20]"), F.lit(False))
     some = own.where(worded)
-    named = join(some, "__id", text, rule).groupBy("doc_id").agg(F.first("component_id").alias("component"))
-    keys = some.groupBy("__id").agg(F.min(F.struct("__null", "__key")).alias("k"))
-    stay = keys.join(named, F.col("__id") == F.col("doc_id")).groupBy("component").agg(F.min(F.struct("k.__null", "k.__key", "__id")).alias("s")).select(F.col("s.__id").alias("__id"))
-    once = some.dropDuplicates(["__id"]).join(stay, "__id", "left_semi")
+    plain = some.select(F.col(i).alias("id"), words.alias("text"), F.struct(F.col(gone).alias("gone"), F.col(k).alias("k")).alias("place"))
+    named = join(plain.select("id", "text"), "id", "text", rule).groupBy("doc_id").agg(F.first("component_id").alias("component"))
+    keys = plain.groupBy("id").agg(F.min("place").alias("place"))
+    stay = keys.join(named, F.col("id") == F.col("doc_id")).groupBy("component").agg(F.min(F.struct("place", "id")).alias("s")).select(F.col("s.id").alias(i))
+    once = some.dropDuplicates([i]).join(stay, i, "left_semi")
     return once.select(*docs.columns).unionByName(own.where(~worded).select(*docs.columns))
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import jaccard_join as jj
 from tessella.llm.components import components
@@ -114,3 +115,39 @@ def test_components(spark, edges):
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     assert got == {k: root(k) for k in up}
+
+
+def test_a_star_of_thousands_and_a_passage_of_thousands(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(110)]
+    rows = [(k, " ".join(base[:j] + [f"x{k}"] + base[j + 1 :])) for k in range(5000) for j in [rng.randrange(110)]]
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows += [(10_000 + k, " ".join(f"o{rng.randrange(10**9)}" for _ in range(25)) + " " + passage) for k in range(5000)]
+    got = {r.doc_id: r.component_id for r in jj.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert len(got) == 10_000 and all(c == k for k, c in got.items() if k >= 10_000)
+    # two of the star link unless both changes are far apart; through copies near both all hang together
+    assert {c for k, c in got.items() if k < 5000} == {0}
+
+
+def test_least_overlap_is_a_bound(spark):
+    for rule in (jj.CONTRACT, jj.CORPUS):
+        sizes = spark.range(1, 90).select(F.col("id").alias("n")).crossJoin(spark.range(1, 120).select(F.col("id").alias("m"))).where(rule.parts * F.least("n", "m") >= rule.least * F.greatest("n", "m"))
+        n, m = F.col("n"), F.col("m")
+        worst = sizes.select("n", "m", rule.shared_in_prefixes(n, m).alias("s"))
+        ranges = worst.select("n", F.col("m").alias("low")).join(worst.select("n", F.col("m").alias("high")), "n").where("low <= high").withColumn("bound", rule.least_overlap(n, F.col("low"), F.col("high")))
+        assert ranges.join(worst, "n").where("m between low and high and bound > greatest(s, 1)").count() == 0
+
+
+def test_levels_keep_the_order():
+    import numpy as np
+
+    counts = np.random.default_rng(1).integers(0, 1 << 40, 200_000)
+    got = jj.levels(counts)[np.argsort(counts, kind="stable")]
+    assert got.dtype == np.uint16 and (np.diff(got.astype(int)) >= 0).all() and got.max() > 60_000
+    assert jj.levels(np.array([3, 0, 70])).tolist() == [3, 0, 70]
+    assert [jj.narrow(np.array([k])).itemsize for k in (255, 256, 65536, 1 << 33)] == [1, 2, 4, 8]
+
+
+def test_keep_one_beside_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 7, 8, 9, 0), (2, "A b c d e", 7, 8, 9, 0)], "doc_id long, text string, __id int, __null int, __key_ int, component long")
+    assert [tuple(r) for r in jj.keep_one(docs).collect()] == [(1, "a b c d e", 7, 8, 9, 0)]
