@@ -16,7 +16,9 @@ Defined results (law ``rows``)
 ------------------------------
 * counts of any two shards differ by at most one; slots count from 0 in every shard without gaps;
 * null text: size 1, checksum 0, linked with nothing; empty texts are equal texts; null keys are documents like others;
-* repeated rows are equal texts and each gets a slot; an empty table gives an empty result; extra columns are ignored.
+* repeated rows are equal texts and each gets a slot; an empty table gives an empty result; extra columns are ignored;
+* where documents start depends on the rows' places in the input, so that repeated rows spread: the same files, split alike,
+  give the same layout.
 
 What reaches the driver: 16 counts a round, and sums by bucket that are few by construction.
 """
@@ -36,8 +38,10 @@ ROUNDS = 5
 SALTS = 32
 #: Buckets of the vertices that want one shard.
 BUCKETS = 256
-#: Documents of a bucket in which rows are numbered.
-RANKED = 4096
+#: Documents of a bucket in which rows are numbered, and buckets whose counts are summed up by one task.
+RANKED, SPAN = 4096, 4096
+#: Documents of a group from which on its vertices meet its homes by salt, not all in one place.
+HOT = 256
 
 
 def quotas(total: int, shards: int) -> list[int]:
@@ -50,7 +54,7 @@ def by_shard(shard: Column, values: list[int]) -> Column:
 
 
 def propagate(vertices: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """``vertices`` (grp, start, salt, n, shard, ...) with other shards."""
+    """``vertices`` (grp, start, salt, n, group_size, shard, ...) with other shards."""
     shards = len(quota)
     for k in range(rounds):
         load = [0] * shards
@@ -59,11 +63,13 @@ def propagate(vertices: DataFrame, quota: list[int], rounds: int = ROUNDS) -> Da
         room = [max(0, q - x) for q, x in zip(quota, load, strict=True)]
         cells = vertices.groupBy("grp", "shard").agg(F.sum("n").alias("c"))
         # a group's homes: the shards that hold most of it, as many as it fills and, if that is many, more from round to round
-        fills = cells.groupBy("grp").agg(F.ceil(F.sum("c") / max(1, min(quota))).cast("int").alias("fills"))
+        fills = cells.groupBy("grp").agg(F.ceil(F.sum("c") / max(1, min(quota))).cast("int").alias("fills"), F.sum("c").alias("size"))
         place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("c"), F.xxhash64("grp", "shard")))
         homes = cells.withColumn("place", place).join(fills, "grp").where(F.col("place") <= F.col("fills") + F.when(F.col("fills") > 1, k // 2).otherwise(0))
-        want = homes.groupBy("grp").agg(F.array_sort(F.collect_list(F.when(by_shard(F.col("shard"), room) > 0, F.col("shard")))).alias("targets"), F.collect_set("shard").alias("homes"), F.first("fills").alias("fills"))
-        moves = vertices.join(want, "grp").where(~F.array_contains("homes", F.col("shard")) & (F.size("targets") > 0))
+        want = homes.groupBy("grp").agg(F.array_sort(F.collect_list(F.when(by_shard(F.col("shard"), room) > 0, F.col("shard")))).alias("targets"), F.collect_set("shard").alias("homes"), F.first("fills").alias("fills"), F.first("size").alias("size"))
+        want = want.withColumn("j", F.explode(F.when(F.col("size") < HOT, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1))))).drop("size")
+        by_salt = F.when(F.col("group_size") < HOT, F.lit(-1)).otherwise(F.col("salt"))
+        moves = vertices.withColumn("j", by_salt).join(want, ["grp", "j"]).where(~F.array_contains("homes", F.col("shard")) & (F.size("targets") > 0))
         # a small group moves as a whole; a large one by its vertices
         whole = F.when(F.col("fills") > 1, F.xxhash64("start", "salt")).otherwise(F.lit(0))
         to = F.element_at("targets", (F.pmod(F.xxhash64("grp", whole, F.lit(k)), F.size("targets")) + 1).cast("int"))
@@ -80,8 +86,14 @@ def ranked(df: DataFrame, within: list[str], buckets: int, name: str) -> DataFra
     """``df`` with a rank from 0, without gaps, within the columns ``within``; no task numbers more than a bucket."""
     df = df.withColumn("__bucket", F.pmod(F.xxhash64("spread"), F.lit(buckets)).cast("int"))
     sums = df.groupBy(*within, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    order = Window.partitionBy(*within).orderBy("__bucket") if within else Window.orderBy("__bucket")
-    before = sums.withColumn("__before", F.sum("__n").over(order) - F.col("__n")).drop("__n")
+    # counts of buckets are summed up by spans, and those of spans by one task: rows / (RANKED * SPAN) of them
+    sums = sums.withColumn("__span", F.expr(f"__bucket div {SPAN}"))
+    spans = sums.groupBy(*within, "__span").agg(F.sum("__n").alias("__all"))
+    order = Window.partitionBy(*within).orderBy("__span") if within else Window.orderBy("__span")
+    spans = spans.withColumn("__base", F.sum("__all").over(order) - F.col("__all")).drop("__all")
+    inner = Window.partitionBy(*within, "__span").orderBy("__bucket")
+    sums = sums.withColumn("__upto", F.sum("__n").over(inner) - F.col("__n"))
+    before = sums.join(spans, [*within, "__span"]).select(*within, "__bucket", (F.col("__base") + F.col("__upto")).alias("__before"))
     row = F.row_number().over(Window.partitionBy(*within, "__bucket").orderBy("doc_id", "crc", "size", "spread"))
     return df.withColumn("__row", row).join(before, [*within, "__bucket"]).withColumn(name, F.col("__before") + F.col("__row") - 1).drop("__bucket", "__before", "__row")
 

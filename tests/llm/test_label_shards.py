@@ -59,3 +59,35 @@ def test_repeated_rows(spark):
 def test_plan_is_native(spark):
     plan = ls.assign(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_few_edges_are_cut(spark):
+    import random
+
+    rng = random.Random(12)
+    rows = [(k, f"text {rng.choice([rng.randrange(40), rng.randrange(4000), 5000 + k])}") for k in range(1600)]
+    got = ls.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    placed, sizes, groups = {r.doc_id: r.shard for r in got}, [0] * 4, {}
+    for k, t in rows:
+        groups.setdefault(t, []).append(k)
+    cut = lambda place: sum(place[a] != place[b] for g in groups.values() for i, a in enumerate(g) for b in g[:i])
+    greedy = {}  # largest groups first, each to the emptiest shard, split only where it does not fit
+    for g in sorted(groups.values(), key=len, reverse=True):
+        for k in g:
+            s = greedy[g[0]] if g[0] in greedy and sizes[greedy[g[0]]] < 400 else sizes.index(min(sizes))
+            greedy[k] = s
+            sizes[s] += 1
+    links = sum(len(g) * (len(g) - 1) // 2 for g in groups.values())
+    by_chance = cut({k: k % 4 for k, _ in rows})
+    assert cut(greedy) <= cut(placed) <= cut(greedy) + 0.1 * links < by_chance
+    assert sorted(list(placed.values()).count(s) for s in range(4)) == [400] * 4
+
+
+def test_ranks_by_spans(spark, monkeypatch):
+    monkeypatch.setattr(ls, "SPAN", 3)
+    df = spark.range(2000).selectExpr("id AS doc_id", "xxhash64(id) AS spread", "0 AS crc", "1 AS size", "id % 3 AS shard")
+    assert sorted(r["rank"] for r in ls.ranked(df, [], 40, "rank").collect()) == list(range(2000))
+    got = {}
+    for r in ls.ranked(df, ["shard"], 17, "rank").collect():
+        got.setdefault(r.shard, []).append(r["rank"])
+    assert {k: sorted(v) == list(range(len(v))) for k, v in got.items()} == {0: True, 1: True, 2: True}
