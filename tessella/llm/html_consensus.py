@@ -9,12 +9,15 @@
 
 Boilerplate subtrees (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) count
 neither as votes nor as text. What is one by its class, id or role alone is decided when the page is read: an element around
-main, around the page's only article, or around most of its text stays, and all of them stay if no text were left.
+main, around the page's only article, or around most of its text stays, and all of them stay if no text were left. In an
+article, a name that only holds such a word among others (``social-science``) marks an element if most of its text is in
+links; paragraphs and headings are marked by classes that mean adverts alone.
 
 Defined results
 ---------------
 * null, empty or textless html: the empty text; a null url, or one without ``://``, belongs to the host ````;
 * tied paths: the larger summed score, then the path that sorts last; repeated rows are all returned;
+* nesting of any depth: a page costs memory and time in proportion to its length;
 * unclosed, crossed and cut tags are tolerated: a block start ends an open paragraph, an end tag without its start is
   ignored; an empty table gives an empty result; extra columns are ignored.
 
@@ -57,6 +60,9 @@ CELLS = frozenset(["td", "th"])
 NEVER_TEXT = frozenset("nav footer aside button dialog menu head noscript template svg math select object datalist".split())
 #: Words of a class, id or role that mark boilerplate.
 BOILERPLATE = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification paywall pager pagination popup promo promoted promotion recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
+#: Classes that mark a paragraph or heading too.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising promo sponsored".split())
+LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: An article of such a class is not the page's.
 MINOR_ARTICLE = frozenset("comment comments promo related reply respond teaser".split())
 #: Names of what an element has or lacks, or that only sound like a mark.
@@ -78,8 +84,13 @@ class Page:
 
     def __init__(self, html: str | None, keep_forms: bool = False):
         self.keep_forms = keep_forms
-        self.parent, self.tag, self.path, self.dropped, self.main = [-1], ["#"], [""], [False], [False]
+        self.parent, self.tag, self.path, self.dropped, self.main = [-1], ["#"], [0], [False], [False]
+        self.block = [0]  # the nearest element, itself or above, that is not inline
+        self.steps: list[tuple[int, str]] = [(-1, "")]  # paths by number: the path before, and the last step
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.count: dict[str, int] = {}  # open elements by tag
         self.marked, self.minor = [0], [False]  # the nearest element at or above that is named like boilerplate
+        self.weak: set[int] = set()  # marked elements that are boilerplate only if they are mostly links
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.runs: list[tuple[int, list[tuple[str, int, bool]]]] = []  # element; texts, their marks, whether in a link
         self.run: list[tuple[str, int, bool]] = []
@@ -137,10 +148,7 @@ class Page:
 
     def flush(self) -> None:
         if self.run:
-            at = self.at
-            while self.tag[at] in INLINE:
-                at = self.parent[at]
-            self.runs.append((at, self.run))
+            self.runs.append((self.block[self.at], self.run))
             self.run = []
 
     def settle(self) -> None:
@@ -162,10 +170,13 @@ class Page:
         for k in range(1, n):
             story.append(k if self.tag[k] in STORY and not self.dropped[k] else story[self.parent[k]])
         # by nearest mark: characters out of links; articles with such text; main elements
-        size, told, mains = dict.fromkeys([0, *marks], 0), set(), dict.fromkeys([0, *marks], 0)
+        size, told, mains, links = dict.fromkeys([0, *marks], 0), set(), dict.fromkeys([0, *marks], 0), dict.fromkeys([0, *marks], 0)
         for at, run in self.runs:
             for s, mark, linked in run:
-                own = 0 if linked else len("".join(s.split()))
+                own = len("".join(s.split()))
+                if linked:
+                    links[mark] += own
+                    own = 0
                 size[mark] += own
                 at_story = story[at] if own else 0
                 while at_story and at_story not in told and self.marked[at_story] == mark:
@@ -181,13 +192,14 @@ class Page:
         for m in reversed(marks):
             up = self.marked[self.parent[m]]
             size[up] += size[m]
+            links[up] += links[m]
             inner[up] += inner[m]
             mains[up] += mains[m]
         gone, clear, left = {0: False}, direct[0], own[0]
         for m in sorted(marks, key=lambda m: (-size[m], m)):  # an element before those in it
             most, half = size[m] >= MOST_IN_MARK * size[0] > 0, 2 * size[m] >= size[0] > 0
             within = story[self.parent[m]] > 0
-            keep = mains[m] or inner[m] and most or not self.minor[m] and (most and (within or not clear) or inner[m] and half and not clear)
+            keep = m in self.weak and size[m] >= links[m] or mains[m] or inner[m] and most or not self.minor[m] and (most and (within or not clear) or inner[m] and half and not clear)
             gone[m] = gone[self.marked[self.parent[m]]] or not keep
             if not gone[m]:
                 clear += direct[m]
@@ -202,7 +214,7 @@ class Page:
             else:
                 self.flush()
             self.end_open(frozenset(["p"]) if tag not in ENDS_ITSELF else ENDS_ITSELF[tag] | {"p"})
-        words, hidden, shown = set(), False, tag
+        words, tokens, classes, hidden, shown = set(), set(), set(), False, tag
         if attrs:
             for name, *value in NAMED.findall(attrs):
                 name, value = name.lower(), entities.unescape("".join(value))
@@ -210,15 +222,22 @@ class Page:
                     hidden = True
                 elif name in ("class", "id", "role"):
                     words.update(WORD.findall(NO_MARK.sub(" ", CAMEL.sub("-", value).lower())))
+                    tokens.update(value.lower().split())
+                    if name == "class":
+                        classes.update(value.lower().split())
                     if name == "class" and not inline:
-                        shown += "".join(f".{re.sub(r'[0-9]+', '#', c)}" for c in sorted(value.split()))
+                        shown += "".join(f".{re.sub(r'[0-9]+', '#', c)}" for c in sorted(value.replace("/", "_").split()))
         up = self.at
         # a header in the article is no boilerplate; elements with names of such are looked at when the page is read
         drop = hidden or tag in NEVER_TEXT or tag == "form" and not self.keep_forms or tag == "header" and not self.main[up]
-        mark = tag not in ("html", "body", "main") and bool(words & (MINOR_ARTICLE if tag == "article" else BOILERPLATE))
+        mark = tag not in ("html", "body", "main") and bool(classes & ADVERTS if tag in LINES else words & (MINOR_ARTICLE if tag == "article" else BOILERPLATE))
+        if mark and self.main[up] and not tokens & BOILERPLATE:
+            self.weak.add(len(self.tag))
         self.parent.append(up)
         self.tag.append(tag)
-        self.path.append(self.path[up] if inline else f"{self.path[up]}/{shown}")
+        self.path.append(self.path[up] if inline else self.number(self.path[up], shown))
+        self.block.append(self.block[up] if inline else len(self.tag) - 1)
+        self.count[tag] = self.count.get(tag, 0) + 1
         self.dropped.append(self.dropped[up] or drop)
         self.marked.append(len(self.tag) - 1 if mark else self.marked[up])
         self.minor.append(bool(words & MINOR_ARTICLE))
@@ -228,8 +247,32 @@ class Page:
         self.at = len(self.tag) - 1
         self.links += tag == "a"
 
+    def number(self, before: int, step: str) -> int:
+        key = before, step
+        if (k := self.numbers.get(key)) is None:
+            k = self.numbers[key] = len(self.steps)
+            self.steps.append(key)
+        return k
+
+    def written(self, path: int) -> str:
+        out = []
+        while path > 0:
+            path, step = self.steps[path]
+            out.append(step)
+        return "/".join([*out, ""][::-1])
+
+    def found(self, written: str) -> int:
+        """The number of a written path; -1 if the page has none such."""
+        k = 0
+        for step in written.split("/")[1:]:
+            if (k := self.numbers.get((k, step), -1)) < 0:
+                return -1
+        return k
+
     def end_open(self, tags: frozenset[str]) -> None:
         """Ends the nearest open element of ``tags`` unless another container lies between."""
+        if not any(self.count.get(t) for t in tags):
+            return
         at = self.at
         while at > 0 and self.tag[at] not in BARRIERS:
             if self.tag[at] in tags:
@@ -243,6 +286,8 @@ class Page:
             return
         if tag not in INLINE and tag not in CELLS:
             self.flush()
+        if not self.count.get(tag):
+            return
         at = self.at
         while at > 0 and self.tag[at] != tag:
             if tag in INLINE and self.tag[at] not in INLINE or tag in PARAGRAPHS and self.tag[at] in BARRIERS:
@@ -255,12 +300,13 @@ class Page:
         at = self.at
         while at != to:
             self.links -= self.tag[at] == "a"
+            self.count[self.tag[at]] -= 1
             at = self.parent[at]
         self.at = to
 
     # -- containers
 
-    def weigh(self) -> dict[str, float]:
+    def weigh(self) -> dict[int, float]:
         """Scores by path of containers: their own text and a share of what the containers in them score."""
         n = len(self.tag)
         held = [0]  # the container of each element: itself, or the one around a paragraph, list, table or inline element
@@ -278,21 +324,20 @@ class Page:
                 if up > 0:
                     score[up] += score[k] * (CARRIED_OUT if self.tag[up] in OUTER else CARRIED)
         self.held, self.below = held, below
-        found: dict[str, float] = {}
+        found: dict[int, float] = {}
         for k in range(n):
             if score[k] > 0:
                 found[self.path[k]] = found.get(self.path[k], 0.0) + score[k] * (1.5 if self.tag[k] in STORY else 1.0)
         return found
 
-    def region(self, path: str) -> set[int]:
+    def region(self, path: int) -> set[int]:
         """The containers on ``path``, each widened to its article, then all of them to what they hold the better part of."""
-        tops = set()
+        tops, story = set(), [0]
         for k in range(len(self.tag)):
+            if k:
+                story.append(k if self.tag[k] in STORY else story[self.parent[k]])
             if self.below[k] > 0 and self.path[k] == path:
-                at = k
-                while at > 0 and self.tag[at] not in STORY:
-                    at = self.parent[at]
-                tops.add(at or k)
+                tops.add(story[k] or k)
         covered = self.covered(tops)
         tops = {t for t in tops if t == 0 or not covered[self.parent[t]]}
         own = sum(self.below[t] for t in tops)
@@ -332,16 +377,17 @@ class Page:
         return "\n".join(text for at, text, _ in self.blocks if covered[at])
 
 
-def best(scores: dict[str, float]) -> list[tuple[str, float]]:
+def best(scores: dict[int, float]) -> list[tuple[int, float]]:
     """Paths from the best; of equals the earlier one."""
     return sorted(scores.items(), key=lambda x: -x[1])
 
 
 def ballots(html: str | None) -> list[tuple[str, float]]:
     """(path, share of the page's score) of its best paths."""
-    own = best(Page(html).weigh())[:VOTES]
+    page = Page(html)
+    own = best(page.weigh())[:VOTES]
     total = sum(v for _, v in own)
-    return [(path, v / total) for path, v in own]
+    return [(page.written(path), v / total) for path, v in own]
 
 
 def extract(html: str | None, path: str | None) -> str:
@@ -353,7 +399,8 @@ def extract(html: str | None, path: str | None) -> str:
     if not scores:
         return page.taken({0})
     own, most = best(scores)[0]
-    return page.taken(page.region(path if path is not None and scores.get(path, 0.0) >= FAR_LESS * most else own))
+    won = page.found(path) if path is not None else -1
+    return page.taken(page.region(won if scores.get(won, 0.0) >= FAR_LESS * most else own))
 
 
 def host(url: Column) -> Column:

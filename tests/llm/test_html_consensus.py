@@ -83,3 +83,54 @@ def test_the_whole_article_is_taken(html, want):
 )
 def test_a_name_alone_is_no_boilerplate(html, want):
     assert hc.extract(html, None) == want
+
+
+def test_deep_nesting_is_linear():
+    import time
+    import tracemalloc
+
+    for page in ("<div>" * 100_000 + "deep text", "<x-a class='c1'>" * 100_000 + "<p>deep text", "<b>" * 100_000 + "deep" + "</i>" * 100_000 + " text", "<div><i>" * 50_000 + "deep text" + "</p>" * 50_000):
+        tracemalloc.start()
+        began = time.perf_counter()
+        path = hc.ballots(page)
+        assert hc.extract(page, path[0][0] if path else None) == "deep text"
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20 and time.perf_counter() - began < 60
+        tracemalloc.stop()
+
+
+def test_against_a_plain_vote(spark):
+    """Several templates a host; the winner by counting votes in plain Python, and every page along it."""
+    import random
+
+    rng = random.Random(14)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    templates = [
+        lambda body: f"<html><body><nav>{words(9)}</nav><div class='wrap w{rng.randrange(9)}'><div class='post-body'>{body}</div></div><footer>{words(9)}</footer></body></html>",
+        lambda body: f"<body><div id=sidebar>{words(20)}</div><main><article>{body}</article></main></body>",
+        lambda body: f"<body><div class='content'>{body}</div><div class='ads'>{words(30)}</div></body>",
+    ]
+    rows, want = [], {}
+    for k in range(90):
+        body = [f"{words(rng.randrange(8, 40))}." for _ in range(rng.randrange(1, 6))]
+        rows.append((k, f"http://h{k % 3}.example/{k}", rng.choice(templates[: 1 + k % 3])("".join(f"<p>{b}</p>" for b in body))))
+        want[k] = "\n".join(body)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own = df.select(hc.host(df.url).alias("host"), "html")
+    votes = {}
+    for _, url, html in rows:
+        for path, share in hc.ballots(html):
+            host = url.split("/")[2]
+            votes.setdefault(host, {}).setdefault(path, []).append(share)
+    plain = {h: max((round(sum(v), 6), p) for p, v in paths.items())[1] for h, paths in votes.items()}
+    assert {r.host: r.path for r in hc.winners(own).collect()} == plain
+    got = {r.page_id: r.text for r in hc.extract_pages(df).collect()}
+    assert got == {k: hc.extract(html, plain[url.split("/")[2]]) for k, url, html in rows} == want
+
+
+def test_words_in_articles_are_no_marks():
+    for inner in ("<div class='social-science'><p>Text of it.</p></div>", "<p id='share'>Text of it.</p>", "<h2 id='related'>Text of it.</h2>"):
+        page = f"<body><nav>a b</nav><article><p>{'First words of a long story. ' * 9}</p>{inner}<p>{'Last words of a long story. ' * 9}</p></article></body>"
+        assert "Text of it." in hc.extract(page, None).split("\n")
+    for inner in ("<div class='ad'>Text of it.</div>", "<p class='sponsored'>Text of it.</p>", "<div class='related-links'><a href=x>Text of it.</a></div>", "<ul class='share'><li>Text of it.</li></ul>"):
+        page = f"<body><article><p>{'First words of a long story. ' * 9}</p>{inner}</article></body>"
+        assert "Text of it." not in hc.extract(page, None)
