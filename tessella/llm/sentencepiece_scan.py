@@ -7,9 +7,12 @@ piece scores 0 if the pair is stable and minus infinity otherwise:
 * a document of two or more chunks is cut at fixed places, in the middle of words or not;
 * the state at a cut is the piece that holds the character before it. Each chunk, by itself, yields the transfer matrix
   of its left states to its right states;
-* matrices combine by max-plus products, associatively: prefix and suffix products leave one state at every cut;
-* each chunk is then backtraced by itself between its two known piece boundaries. What lies between two boundaries of the
-  path is encoded by the library (words once, then remembered): by the same law its pieces are those of the path.
+* matrices combine by max-plus products, associatively, in a tree: FAN neighbours become one matrix, level by level, until a
+  document has at most FAN. From the top down, the states on the path are then found at the cuts between the matrices of
+  each node, given those at its two ends. No task holds more than FAN matrices, however long the document;
+* each chunk is then worked on by itself between its two known piece boundaries. No back-pointers are kept: what lies
+  between two boundaries of the path is encoded by the library (words once, then remembered), and by the same law its
+  pieces are those of the path.
 
 A document of one chunk has known boundaries and needs no matrix. Results equal the library's on the whole text.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,6 +43,8 @@ from tessella.llm import common
 SPACE = "▁"
 #: Characters of a chunk; a document of twice as many is giant.
 CHUNK = 16384
+#: Matrices that one task combines.
+FAN = 64
 #: Words whose ids a worker remembers.
 CACHE = 200_000
 #: Stability of pairs that a worker remembers.
@@ -59,8 +65,8 @@ class Pieces:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         kinds = pb.ModelProto.SentencePiece
-        if model.trainer_spec.model_type != pb.TrainerSpec.BPE or model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces or not model.normalizer_spec.add_dummy_prefix or any(p.type == kinds.USER_DEFINED for p in model.pieces):
-            raise ValueError("only BPE models with the identity normaliser, a dummy prefix and no user-defined pieces")
+        if model.trainer_spec.model_type != pb.TrainerSpec.BPE or model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces or not model.normalizer_spec.add_dummy_prefix or not model.trainer_spec.byte_fallback or any(p.type == kinds.USER_DEFINED for p in model.pieces):
+            raise ValueError("only BPE models with the identity normaliser, a dummy prefix, byte fallback and no user-defined pieces")
         self.score = {p.piece: p.score for p in model.pieces if p.type in (kinds.NORMAL, kinds.UNUSED)}
         self.longest = max(map(len, self.score))
         if any(SPACE in p.lstrip(SPACE) or UNJOINED in p for p in self.score):
@@ -198,11 +204,13 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1, initial=NEVER)
 
 
-def boundaries(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each inner cut: the one that lies on a finite path from the first state to a last one."""
-    before, after = [], [np.zeros((matrices[-1].shape[1], 1), dtype=np.float32)]
+def boundaries(matrices: list[np.ndarray], first: int = 0, last: int = -1) -> list[int]:
+    """The state at each inner cut: the one on a finite path from state ``first`` to state ``last``, or to any if that is -1."""
+    end = matrices[-1].shape[1]
+    after = [np.zeros((end, 1), dtype=np.float32) if last < 0 else np.where(np.arange(end)[:, None] == last, 0, NEVER).astype(np.float32)]
+    before = []
     for m in matrices[:-1]:
-        before.append(product(before[-1], m) if before else m[:1])
+        before.append(product(before[-1], m) if before else m[first : first + 1])
     for m in matrices[:0:-1]:
         after.append(product(m, after[-1]))
     found = []
@@ -267,22 +275,57 @@ def _cut(chunk: int, margin: int):
 
 
 def _matrices(path: str):
-    schema = pa.schema([(c, pa.int64()) for c in KEY] + [("k", pa.int32()), ("n_left", pa.int32()), ("right", pa.list_(pa.int64())), ("matrix", pa.binary())])
+    schema = pa.schema([(c, pa.int64()) for c in KEY] + [("k", pa.int32()), ("n_left", pa.int32()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64())), ("matrix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 left, right, m = pieces(path).transfer(r["text"], r["a"] - r["lo"], r["b"] - r["lo"], r["k"] == r["n"] - 1)
-                yield pa.RecordBatch.from_pylist([{**{c: r[c] for c in KEY}, "k": r["k"], "n_left": len(left), "right": [r["lo"] + e for _, e in right], "matrix": m.tobytes()}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{**{c: r[c] for c in KEY}, "k": r["k"], "n_left": len(left), "left": [r["lo"] + e for _, e in left], "right": [r["lo"] + e for _, e in right], "matrix": m.tobytes()}], schema=schema)
 
     return run
 
 
-def _combine(part: pd.DataFrame) -> pd.DataFrame:
+def _loaded(part: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(m, dtype=np.float32).reshape(n, -1) for m, n in zip(part["matrix"], part["n_left"], strict=True)]
+
+
+def _multiplied(part: pd.DataFrame) -> pd.DataFrame:
+    """One matrix for those of a node."""
+    part = part.sort_values("k")
+    m = reduce(product, _loaded(part))
+    return pd.DataFrame({**{c: part[c].iloc[:1] for c in KEY}, "k": part["k"].iloc[:1] // FAN, "n_left": [len(m)], "matrix": [m.tobytes()]})
+
+
+def _placed(part: pd.DataFrame) -> pd.DataFrame:
+    """The states at both ends of each matrix of a node, from those at the node's ends."""
+    part = part.sort_values("k")
+    own = boundaries(_loaded(part), int(part["first"].iloc[0]), int(part["last"].iloc[0]))
+    return pd.DataFrame({**{c: part[c] for c in KEY}, "k": part["k"], "from_state": [int(part["first"].iloc[0]), *own], "to_state": [*own, int(part["last"].iloc[0])]})
+
+
+def states(matrices: DataFrame, most: int) -> DataFrame:
+    """(h1, h2, k, from_state, to_state) of each matrix (h1, h2, k, n_left, matrix); -1 at a document's end.
+
+    ``most``: how many matrices a document has at most."""
+    node = F.expr(f"int(k div {FAN})")
+    levels = [matrices.select(*KEY, "k", "n_left", "matrix")]
+    while most > FAN:
+        levels.append(common.cut(levels[-1].groupBy(*KEY, node.alias("node")).applyInPandas(_multiplied, "h1 long, h2 long, k int, n_left int, matrix binary")))
+        most = -(-most // FAN)
+    ends = None
+    for level in reversed(levels):
+        if ends is None:
+            own = level.withColumns({"node": F.lit(0), "first": F.lit(0), "last": F.lit(-1)})
+        else:
+            own = level.withColumn("node", node).join(ends.select(*KEY, F.col("k").alias("node"), F.col("from_state").alias("first"), F.col("to_state").alias("last")), [*KEY, "node"])
+        ends = own.groupBy(*KEY, "node").applyInPandas(_placed, "h1 long, h2 long, k int, from_state int, to_state int")
+    return ends
+
+
+def _joined(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("k")
-    matrices = [np.frombuffer(m, dtype=np.float32).reshape(n, -1) for m, n in zip(part["matrix"], part["n_left"], strict=True)]
-    ends = [int(right[j]) for right, j in zip(part["right"], boundaries(matrices), strict=False)]
-    return pd.DataFrame({**{c: part[c] for c in KEY}, "k": part["k"], "from": [0, *ends], "to": [*ends, -1]})
+    return pd.DataFrame({**{c: part[c].iloc[:1] for c in KEY}, "n_chunks": [len(part)], "ids": [b"".join(part["ids"])]})
 
 
 def _between(path: str):
@@ -297,6 +340,7 @@ def _between(path: str):
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, back: bool = False) -> DataFrame:
     """(doc_id, n_chunks, ids) of each row. Only giant documents are shuffled, chunk by chunk; equal ones are encoded once.
+    A document's ids come together in one row, so they must fit one (some 500 million).
 
     With ``back`` the ids are decoded too, by the worker that made them where it can."""
     common.ready(docs)
@@ -306,12 +350,14 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     giant = F.coalesce(F.length("text") + 1 >= 2 * chunk, F.lit(False))
     small = own.where(~giant).mapInArrow(_whole(model, back), WHOLE + ", decoded string" * back)
     large = own.where(giant).select("doc_id", F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("h2"), "text")
-    parts = large.select(*KEY, "text").mapInArrow(_cut(chunk, margin), PART).dropDuplicates([*KEY, "k"])
-    matrices = parts.mapInArrow(_matrices(model), "h1 long, h2 long, k int, n_left int, right array<long>, matrix binary")
-    spans = matrices.groupBy(*KEY).applyInPandas(_combine, "h1 long, h2 long, k int, from long, to long")
+    parts = common.cut(large.select(*KEY, "text").mapInArrow(_cut(chunk, margin), PART).dropDuplicates([*KEY, "k"]))
+    most = parts.agg(F.max("n")).first()[0] or 0
+    matrices = parts.mapInArrow(_matrices(model), "h1 long, h2 long, k int, n_left int, left array<long>, right array<long>, matrix binary")
+    matrices = common.cut(matrices)
+    ends = states(matrices, most).join(matrices.select(*KEY, "k", "left", "right"), [*KEY, "k"])
+    spans = ends.select(*KEY, "k", F.col("left")[F.col("from_state")].alias("from"), F.when(F.col("to_state") >= 0, F.get("right", F.col("to_state"))).otherwise(-1).alias("to"))
     coded = parts.join(spans, [*KEY, "k"]).mapInArrow(_between(model), "h1 long, h2 long, k int, ids binary")
-    joined = coded.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("k", F.hex("ids").alias("x")))).alias("parts"))
-    whole = joined.select(*KEY, "n_chunks", F.unhex(F.array_join(F.col("parts.x"), "")).alias("ids"))
+    whole = coded.groupBy(*KEY).applyInPandas(_joined, "h1 long, h2 long, n_chunks int, ids binary")
     rows = large.select("doc_id", *KEY).join(whole, [*KEY]).select("doc_id", "n_chunks", "ids")
     return small.unionByName(decode(rows, model) if back else rows)
 

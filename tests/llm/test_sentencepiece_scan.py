@@ -84,3 +84,31 @@ def test_repeated_giants(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, sps.digests(sps.decode(sps.encode(docs, MODEL, chunk=500), MODEL)).collect()))
     assert sorted((r.doc_id or 0) for r in got) == [0, 1, 1, 2]
     assert {r.text_crc32 for r in got} == {zlib.crc32(text.encode())} and all(r.n_chunks > 5 for r in got)
+
+
+def test_a_tree_of_matrices(spark, pieces, monkeypatch):
+    monkeypatch.setattr(sps, "FAN", 3)  # the workers keep theirs, which is larger than any node here
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["the", "ing", " ", "q", "é", "ation", "zz"]) for _ in range(n)) for n in (400, 3000, 9000)]
+    t = sps.prepared(texts[1])
+    at = sps.cuts(len(t), 64)
+    matrices = [pieces.transfer(t, a, b, b == len(t))[2] for a, b in zip(at, at[1:], strict=False)]
+    flat = sps.boundaries(matrices)
+    for fan in (2, 3, 7):  # the same states from products of products
+        tops = [sps.reduce(sps.product, matrices[k : k + fan]) for k in range(0, len(matrices), fan)]
+        ends = [0, *sps.boundaries(tops), -1]
+        got = []
+        for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            got += [*sps.boundaries(matrices[k * fan : (k + 1) * fan], a, b), b]
+        assert got[:-1] == flat
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k: struct.pack(f"<{len(i)}I", *i) for k, i in enumerate(map(pieces.library.encode, texts))}
+    monkeypatch.setattr(sps, "FAN", 64)
+    assert {r.doc_id: bytes(r.ids) for r in sps.encode(docs, MODEL, chunk=64).collect()} == want  # over 64 chunks: two levels
+
+
+def test_a_text_of_megabytes(spark, pieces):
+    text = "Giant words, here and there; " * 100_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = sps.encode(docs, MODEL).first()
+    assert got.n_chunks > 2 * sps.FAN and list(np.frombuffer(bytes(got.ids), "<u4")) == pieces.library.encode(text)
