@@ -14,11 +14,12 @@ A block's width is the one that holds ``PERCENTILE`` % of its values; larger val
 
 Defined results
 ---------------
-* null or empty text: the end id alone; null keys come first and stay null; equal keys are ordered by text and all kept;
+* null or empty text: the end id alone; null keys come first and stay null; equal keys are ordered by the
+  first START characters of their texts, then by a hash of them, and all kept;
 * an empty table: no file and an empty result; extra columns are ignored.
 
-A task writes a file of a name of its own and reports it; files of failed or repeated attempts are reported by nobody and
-never read. Readers check every document's checksum. The folder lies below ``spark.checkpoint.dir``.
+A task writes a file of a name of its own and reports it; files of failed or repeated attempts are reported by nobody, never
+read, and removed when the job is done. Readers check every document's checksum. The folder lies below ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Marks between a plain letter and white space: the tokenizer splits them from the letters.
 MARKS = re.compile(rb"([.,!?;:&*#$%](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:&*#$%]*)(?=[ \t\n\r\x0b\x0c]|\Z)")
 
+#: Rows of one key are dealt out by so many first characters of their texts, and equal ones to so many places.
+START, APART = 64, 256
 #: Bytes of text that go into one file.
 FILE_BYTES = 64 << 20
 
@@ -298,6 +301,16 @@ def encoder_of(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _drop_others(folder: str, reported: set[str]) -> None:
+    """What failed or repeated attempts have left goes; one that still writes leaves a file that nobody reads."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if f.type == fs.FileType.File and f.path not in reported:
+            system.delete_file(f.path)
+
+
 MANIFEST = pa.schema([("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("low", pa.int64()), ("part", pa.int32())])
 
 
@@ -308,7 +321,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
     total = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
     if not total.n:
         return []
-    dealt = own.repartitionByRange(max(12, -(-total.size // file_bytes)), "doc_id")
+    # rows of one key, null or not, are split too, and so are equal ones
+    begin, hashed, apart = F.col("text").substr(1, START), F.xxhash64("text"), F.pmod(F.monotonically_increasing_id(), F.lit(APART))
+    dealt = own.repartitionByRange(max(12, -(-total.size // file_bytes)), "doc_id", begin, hashed, apart)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -330,7 +345,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
             sink.close()
             yield pa.record_batch([[path], [writer.n_ids], [len(writer.keys)], [next((k for k in writer.keys if k is not None), None)], [TaskContext.get().partitionId()]], schema=MANIFEST)
 
-    files = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, "path string, n_ids long, n_docs long, low long, part int").collect()
+    files = dealt.sortWithinPartitions("doc_id", begin, hashed, "text").mapInArrow(run, "path string, n_ids long, n_docs long, low long, part int").collect()
+    _drop_others(folder, {f.path for f in files})
     out, before = [], 0
     for f in sorted(files, key=lambda f: f.part):
         out.append((f.path, f.n_ids, before))

@@ -74,3 +74,15 @@ def test_words_equal_whole_texts():
     for k in range(300):
         text = "".join(rng.choice(letters if k % 2 else letters[:-2] + "      \n\t\xa0") for _ in range(300))
         assert encoder.encode([text.encode()])[0] == struct.pack(f"<{len(ids := t.encode(text, add_special_tokens=False).ids)}I", *ids)
+
+
+def test_one_key_is_split(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CASE WHEN id < 1500 THEN concat('text ', id) ELSE 'the same text' END AS text")
+    folder = f"file://{tmp_path}"
+    (tmp_path / "ids-left-behind.pfr").write_bytes(b"x")
+    files = po.write(docs.repartition(6), common.tokenizer_file("word_bpe_49k.json"), folder, file_bytes=4000)
+    assert len(files) >= 10 and sorted(p.name for p in tmp_path.iterdir()) == sorted(f.rsplit("/", 1)[-1] for f, _, _ in files)
+    got = po.read(spark, folder, files).collect()
+    assert len(got) == 3000 and max(n for _, n, _ in files) < 0.5 * sum(n for _, n, _ in files)
+    got.sort(key=lambda r: r.start)
+    assert all(a.start + len(a.ids) // 4 == b.start for a, b in zip(got, got[1:], strict=False))
