@@ -9,6 +9,10 @@ are stretches of pre-tokens, its nodes hold their characters and tokens. An edit
 
 Only the touched leaves and the sums above them change. Counts equal those of a full encoding of the edited text.
 
+Trees are kept with their documents: :func:`trees` adds them as bytes (two for a pre-token: its characters and tokens, larger
+numbers apart), and :func:`count` and :func:`edited` load them and encode only what edits touch; :func:`edited` returns
+texts and trees for the next edits.
+
 Defined results
 ---------------
 * null text is empty; null or no edits leave it as it is; edits apply one after another, each to the text the former left;
@@ -19,11 +23,14 @@ Defined results
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessella.llm import common
 
@@ -69,8 +76,40 @@ class Tree:
         parts = counter.split(text)
         self.build(list(map(len, parts)), counter.count(parts))
 
+    def dump(self) -> bytes:
+        """The leaves: how many pre-tokens each has, then all characters and tokens, in bytes; numbers of 255 and more at the end."""
+        out = [struct.pack("<I", len(self.leaves))]
+        sizes = [len(a) for a, _ in self.leaves]
+        for numbers in (sizes, [n for a, _ in self.leaves for n in a], [n for _, b in self.leaves for n in b]):
+            x = np.array(numbers, dtype=np.int64)
+            large = x[x >= 255].astype("<u4")
+            out += [struct.pack("<II", len(x), len(large)), np.minimum(x, 255).astype(np.uint8).tobytes(), large.tobytes()]
+        return b"".join(out)
+
+    @classmethod
+    def load(cls, counter: Counter, text: str, data: bytes) -> Tree:
+        """A tree as it was dumped; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.counter, tree.text, tree.reencoded = counter, text, 0
+        at, parts = 4, []
+        for _ in range(3):
+            n, m = struct.unpack_from("<II", data, at)
+            x = np.frombuffer(data, np.uint8, n, at + 8).astype(np.int64)
+            x[x == 255] = np.frombuffer(data, "<u4", m, at + 8 + n)
+            at += 8 + n + 4 * m
+            parts.append(x)
+        ends = np.cumsum(parts[0])
+        lengths, counts = parts[1].tolist(), parts[2].tolist()
+        if sum(lengths) != len(text):
+            raise ValueError("the tree is of another text")
+        tree.raise_up([(lengths[a:b], counts[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)])
+        return tree
+
     def build(self, lengths: list[int], counts: list[int]) -> None:
-        self.leaves = [(lengths[k : k + LEAF], counts[k : k + LEAF]) for k in range(0, len(lengths), LEAF)] or [([], [])]
+        self.raise_up([(lengths[k : k + LEAF], counts[k : k + LEAF]) for k in range(0, len(lengths), LEAF)])
+
+    def raise_up(self, leaves: list[tuple[list[int], list[int]]]) -> None:
+        self.leaves = leaves or [([], [])]
         n = 1
         while n < len(self.leaves):
             n *= 2
@@ -177,29 +216,66 @@ RESULT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_token
 
 def attach(docs: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with an ``edits`` column from rows (doc_id, seq, start, stop, replacement), in the order of seq."""
-    listed = edits.select(F.col("doc_id").alias("__of"), F.struct("seq", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("replacement").cast("string").alias("replacement")).alias("e"))
-    listed = listed.groupBy("__of").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.struct(e.start.alias("start"), e.stop.alias("stop"), e.replacement.alias("replacement"))).alias("__edits"))
-    return docs.drop("edits").join(listed, docs[key] == F.col("__of"), "left").withColumnRenamed("__edits", "edits").drop("__of")
+    of, own = common.unused(docs, "of", "edits")
+    listed = edits.select(F.col("doc_id").alias(of), F.struct("seq", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("replacement").cast("string").alias("replacement")).alias("e"))
+    listed = listed.groupBy(of).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.struct(e.start.alias("start"), e.stop.alias("stop"), e.replacement.alias("replacement"))).alias(own))
+    return docs.drop("edits").join(listed, docs[key] == F.col(of), "left").withColumnRenamed(own, "edits").drop(of)
 
 
-def count(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
-    """(doc_id, n_tokens_before, n_tokens, n_pretokens, n_reencoded, n_chars) of each row; one pass, no shuffle."""
+def trees(docs: DataFrame, ranks: str, text: str = "text", tree: str = "tree") -> DataFrame:
+    """``docs`` with the tree of each text, as bytes, in column ``tree``; one pass, no shuffle."""
     common.ready(docs)
+    own = docs.drop(tree)
+    schema = StructType([*own.schema.fields, StructField(tree, BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, text):
+            made = [Tree(counter(ranks), t or "").dump() for t in batch.column(text).cast(pa.string()).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, tree])
+
+    return own.mapInArrow(run, schema)
+
+
+def _applied(own: DataFrame, ranks: str, whole: bool) -> DataFrame:
+    """Edits applied to rows (doc_id, text, edits[, tree]); with ``whole``, edited texts and their trees too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            rows = []
-            for key, text, edits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits")), strict=True):
-                tree = Tree(counter(ranks), text or "")
+            rows, texts, dumps = [], [], []
+            stored = batch.column("tree").to_pylist() if "tree" in batch.schema.names else [None] * batch.num_rows
+            for key, text, edits, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits")), stored, strict=True):
+                tree = Tree(counter(ranks), text or "") if data is None else Tree.load(counter(ranks), text or "", data)
                 before = tree.total()
                 for e in edits or ():
                     if e is not None:
                         tree.edit(e["start"], e["stop"], e["replacement"])
                 rows.append((key, before, tree.total(), tree.pretokens(), tree.reencoded, len(tree.text)))
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=RESULT)
+                if whole:
+                    texts.append(tree.text)
+                    dumps.append(tree.dump())
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            more = [pa.array(texts, pa.string()), pa.array(dumps, pa.binary())] if whole else []
+            yield pa.record_batch([*columns, *more], names=[*RESULT.names, *["text", "tree"][: len(more)]])
+
+    return own.mapInArrow(run, ", ".join(f"{c} long" for c in RESULT.names) + ", text string, tree binary" * whole)
+
+
+def _own(docs: DataFrame, key: str, text: str, edits: str, tree: str) -> DataFrame:
+    common.ready(docs)
+    kept = [F.col(tree).cast("binary").alias("tree")] if tree in docs.columns and dict(docs.dtypes)[tree] == "binary" else []
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(edits).cast(EDITS).alias("edits"), *kept)
+
+
+def count(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", edits: str = "edits", tree: str = "tree") -> DataFrame:
+    """(doc_id, n_tokens_before, n_tokens, n_pretokens, n_reencoded, n_chars) of each row; one pass, no shuffle.
+
+    Trees in a binary column ``tree`` are loaded; rows without one are encoded whole."""
+    return _applied(_own(docs, key, text, edits, tree), ranks, False)
+
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(edits).cast(EDITS).alias("edits"))
-    return own.mapInArrow(run, ", ".join(f"{c} long" for c in RESULT.names))
+def edited(docs: DataFrame, ranks: str, key: str = "doc_id", text: str = "text", edits: str = "edits", tree: str = "tree") -> DataFrame:
+    """:func:`count`'s columns, and the edited text and its tree."""
+    return _applied(_own(docs, key, text, edits, tree), ranks, True)
 
 
 def trial_edits(text: Column) -> Column:

@@ -46,7 +46,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return edit_counts.count(docs.withColumn("edits", edit_counts.trial_edits(F.col("text"))), tokenizer_file("byte_bpe_50k.tiktoken"))
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    kept = edit_counts.trees(docs.select("doc_id", "text"), ranks)
+    return edit_counts.count(kept.withColumn("edits", edit_counts.trial_edits(F.col("text"))), ranks)
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,25 @@ def test_edit_rows(spark, counter):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ec.count(docs.withColumn("edits", ec.trial_edits(F.col("text"))), RANKS).count() == 0
+
+
+def test_trees_are_kept(spark, counter):
+    rng = random.Random(10)
+    for n in (0, 1, 40, 3000):
+        tree = ec.Tree(counter, "".join(rng.choice(["the ", "x" * 400, "\n", " é", "12"]) for _ in range(n)))
+        for _ in range(3):
+            tree.edit(rng.randint(0, n), rng.randint(0, n + 9), "new " * rng.randint(0, 90))
+            again = ec.Tree.load(counter, tree.text, tree.dump())
+            assert (again.leaves, again.total(), again.chars[1]) == (tree.leaves, tree.total(), len(tree.text))
+    with pytest.raises(ValueError, match="another text"):
+        ec.Tree.load(counter, "abc", ec.Tree(counter, "ab").dump())
+
+    docs = spark.createDataFrame([(1, "some words, more words. " * 400, "e"), (2, None, "f"), (None, "x", "g")], "doc_id long, text string, edits string").drop("edits")
+    kept = ec.trees(docs, RANKS)
+    cut = kept.withColumn("edits", F.array(F.struct(F.lit(10).alias("start"), F.lit(12).alias("stop"), F.lit("NEW").alias("replacement"))))
+    first = ec.edited(cut, RANKS)
+    second = ec.count(first.withColumn("edits", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("a ").alias("replacement")))), RANKS).collect()
+    for r in second:
+        text = {1: "some words, more words. " * 400, 2: "", None: "x"}[r.doc_id]
+        text = "a " + text[:10] + "NEW" + text[12:]
+        assert r.n_tokens == len(counter.coding.encode_ordinary(text)) and r.n_chars == len(text) and r.n_reencoded < 8
