@@ -3,6 +3,14 @@
 Near copies share four fifths of their five-word shingles (:data:`jaccard_join.CORPUS`); op6's contract binds op6 alone.
 Every stage but the last returns the columns of documents. A document leaves if its language is rejected, if a near copy
 with a smaller doc_id stays (of rows without one, or that repeat, one stays), or if it is contaminated by the benchmark; what is left is encoded, and decoded again.
+
+Defined results
+---------------
+* null and letterless texts have no language and leave; a null lang is a document like others, but nothing is learned of it;
+* a null doc_id: near copies leave all the same, and the other stages judge rows, not keys;
+* rows that repeat are near copies of each other: one stays; an empty table passes all stages and gives an empty result;
+* extra columns, whatever their names, go through all stages but the last;
+* a stage's folder goes when the next one's is written, so that the last stage's input is what a run leaves behind.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import decontaminate, jaccard_join, langid, sentencepiece_scan
-from tessella.llm.common import shared_dir, table, tokenizer_file
+from tessella.llm.common import remove, shared_dir, table, tokenizer_file
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,4 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -57,6 +57,12 @@ def checkpoint_base(spark: SparkSession) -> str:
     return base
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder from whatever file system it lies on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that no column of ``df`` has."""
     taken, out = {c.lower() for c in df.columns}, []

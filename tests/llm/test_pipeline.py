@@ -56,3 +56,19 @@ def test_near_copies_of_the_stage(spark):
     far[20] = far[50] = far[80] = "other"  # 81 of 111
     docs = spark.createDataFrame([(k, " ".join(w), "en") for k, w in enumerate((base, near, far))], "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {0, 2}
+
+
+def test_odd_tables(spark, folder):
+    import os
+
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, some in (("empty", docs.limit(0)), ("odd", docs.where("doc_id < 60").unionByName(docs.where("doc_id < 6")).selectExpr("nullif(doc_id, 1) AS doc_id", "text", "lang", "source", "n_chars", "1 AS ids", "2 AS __id", "'x' AS component_id"))):
+        some.write.parquet(f"{path}/{name}/documents.parquet")
+        os.symlink(f"{path}/benchmark.parquet", f"{path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{path}/empty").collect() == []
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text_crc32) for r in corpus_pipeline.run(spark, f"{path}/odd").collect())
+    assert got == sorted((k != 1, k if k != 1 else 0, zlib.crc32(t.encode())) for k, t, _ in rows[:60])
+    odd = spark.read.parquet(f"{path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, f"{path}/odd").columns == odd.columns
