@@ -13,7 +13,8 @@
 Defined results
 ---------------
 * vectors that are null, empty, zero, or hold null or non-finite components, and null labels: no links, own component;
-* vectors of different lengths have no cosine and link with nothing of another length; a null vec_id links nothing;
+* vectors of different lengths have no cosine and link with nothing of another length; a row without a
+  vec_id links with nothing, counts for none, has no component and is kept;
 * rows that repeat a vec_id are vectors of their own and linked if their vectors are; an empty table: an empty result;
 * extra columns are ignored.
 """
@@ -266,7 +267,7 @@ def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     common.ready(vectors)
     emb = F.col(embedding).cast("array<double>")
     own = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), emb.alias("emb"))
-    sound = F.col("label").isNotNull() & F.col("emb").isNotNull() & F.forall("emb", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("emb", lambda v: v != 0)
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("emb").isNotNull() & F.forall("emb", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("emb", lambda v: v != 0)
     own = own.withColumn("ok", F.coalesce(sound, F.lit(False)))
     own = own.withColumn("h1", F.when(F.col("ok"), F.xxhash64("label", "emb"))).withColumn("h2", F.when(F.col("ok"), F.xxhash64(F.lit("second"), "emb", "label")))
     classes = own.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("emb").alias("emb")).withColumn("dim", F.size("emb"))

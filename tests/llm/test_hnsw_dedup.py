@@ -65,3 +65,10 @@ def test_recall_of_a_large_shard():
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_rows_without_a_key(spark):
+    v = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(None, v, 1), (None, v, 1), (3, v, 1), (4, v, 1)], "vec_id long, embedding array<float>, label int")
+    got = sorted((tuple(r) for r in hd.dedup(df).collect()), key=str)
+    assert got == sorted([(None, 0, None, True), (None, 0, None, True), (3, 1, 3, True), (4, 1, 3, False)], key=str)
