@@ -15,7 +15,7 @@ from tessella.shipping import ship
 #: Rows of an Arrow batch that are worked on at once; bounds a worker's memory.
 SLICE_ROWS = 512
 #: Bytes of text after which a slice ends earlier.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 #: What Spark hands over to a worker at once: its settings, by default, and ours.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 

@@ -46,7 +46,7 @@ CHUNK = 16384
 #: Matrices that one task combines.
 FAN = 64
 #: Words whose ids a worker remembers.
-CACHE = 200_000
+CACHE = 100_000
 #: Stability of pairs that a worker remembers.
 PAIRS = 500_000
 NEVER = np.float32(-np.inf)
@@ -323,9 +323,13 @@ def states(matrices: DataFrame, most: int) -> DataFrame:
     return ends
 
 
-def _joined(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("k")
-    return pd.DataFrame({**{c: part[c].iloc[:1] for c in KEY}, "n_chunks": [len(part)], "ids": [b"".join(part["ids"])]})
+def _joined(path: str, back: bool):
+    def of(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("k")
+        ids = b"".join(part["ids"])
+        return pd.DataFrame({**{c: part[c].iloc[:1] for c in KEY}, "n_chunks": [len(part)], "ids": [ids]} | ({"decoded": [pieces(path).decode(ids)]} if back else {}))
+
+    return of
 
 
 def _between(path: str):
@@ -357,9 +361,9 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     ends = states(matrices, most).join(matrices.select(*KEY, "k", "left", "right"), [*KEY, "k"])
     spans = ends.select(*KEY, "k", F.col("left")[F.col("from_state")].alias("from"), F.when(F.col("to_state") >= 0, F.get("right", F.col("to_state"))).otherwise(-1).alias("to"))
     coded = parts.join(spans, [*KEY, "k"]).mapInArrow(_between(model), "h1 long, h2 long, k int, ids binary")
-    whole = coded.groupBy(*KEY).applyInPandas(_joined, "h1 long, h2 long, n_chunks int, ids binary")
-    rows = large.select("doc_id", *KEY).join(whole, [*KEY]).select("doc_id", "n_chunks", "ids")
-    return small.unionByName(decode(rows, model) if back else rows)
+    whole = coded.groupBy(*KEY).applyInPandas(_joined(model, back), "h1 long, h2 long, n_chunks int, ids binary" + ", decoded string" * back)
+    rows = large.select("doc_id", *KEY).join(whole, [*KEY]).select("doc_id", "n_chunks", "ids", *["decoded"] * back)
+    return small.unionByName(rows)
 
 
 def round_trip(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
