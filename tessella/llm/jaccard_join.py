@@ -16,10 +16,10 @@ each (their prefixes, under one global order); how deep depends on both sizes.
 5. Links of both rounds are united to components.
 
 Verification first counts what the prefixes have in common, which rules out chance meetings, then the sets' common
-shingles. Of a pair, the end with fewer pairs takes its set to the other end, whose set is copied once for STAR pairs, so a
-star's centre is never copied for each of its members. Sets are computed again from the texts for the documents in
-question, picked by a bitmap of about 16 bits for each of them and at most 2**27: beyond some 16 M such documents it lets
-others pass too, whose sets are shuffled and dropped.
+shingles. One set of each pair travels to the other; a document in very many pairs is a skewed key of those joins, which
+adaptive execution splits. Sets are computed again from the texts for the documents in question, picked by a bitmap of about
+16 bits for each of them and at most 2**27: beyond some 16 M such documents it lets others pass too, whose sets are
+shuffled and dropped.
 
 Defined results
 ---------------
@@ -87,9 +87,7 @@ LEAST_BITS, MOST_BITS, BYTES_PER_CELL = 18, 24, 2048
 SKETCH_SLICES = 16
 #: Bits of the map that picks documents whose sets are needed: for each document, and the powers of two at least and most.
 MAP_SHARE, LEAST_MAP, MOST_MAP = 16, 20, 27
-#: Pairs of one document for which its set is copied once.
-STAR = 512
-CACHE = 200_000
+CACHE = 60_000
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -256,26 +254,16 @@ def sets_of(docs: DataFrame, ids: DataFrame, rule: Rule = CONTRACT) -> DataFrame
     return own.select("id", "text", "p").mapInArrow(run, "id long, tokens array<long>").dropDuplicates(["id"])  # rows may repeat
 
 
-def beside(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
-    """(a, b, x, y): ``value`` of both ends of each pair. x is that of the end with more pairs, copied once for STAR of them."""
-    count = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("c"))
-    both = pairs.join(count.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(count.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
-    hub = F.col("ca") >= F.col("cb")
-    copies = F.ceil(F.greatest("ca", "cb") / STAR).cast("int")
-    both = both.select("a", "b", F.when(hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("spoke"), copies.alias("copies"))
-    both = both.withColumn("salt", F.pmod(F.xxhash64("spoke"), F.col("copies")).cast("int"))
-    centres = count.join(sets, "id").select(F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("c") / STAR).cast("int") - 1)).alias("salt"), F.col(value).alias("x"))
-    return both.join(sets.select(F.col("id").alias("spoke"), F.col(value).alias("y")), "spoke").join(centres, ["hub", "salt"]).select("a", "b", "x", "y")
-
-
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule = CONTRACT) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets reach the threshold. Their prefixes, a tenth of the sets, rule out most others."""
-    near = beside(pairs, classes.select("id", F.struct("n", "prefix").alias("s")), "s")
+    x, y = classes.alias("x"), classes.alias("y")
+    near = pairs.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b"))
     near = common.cut(near.where(F.size(F.array_intersect("x.prefix", "y.prefix")) >= rule.shared_in_prefixes(F.col("x.n"), F.col("y.n"))).select("a", "b"))
     sets = sets_of(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), rule)
-    both = beside(near, sets, "tokens")
-    same = F.size(F.array_intersect("x", "y"))
-    return both.where(rule.parts * same >= rule.least * (F.size("x") + F.size("y") - same)).select("a", "b")
+    x, y = sets.alias("x"), sets.alias("y")
+    both = near.join(x, F.col("x.id") == F.col("a")).join(y, F.col("y.id") == F.col("b"))
+    same = F.size(F.array_intersect("x.tokens", "y.tokens"))
+    return both.where(rule.parts * same >= rule.least * (F.size("x.tokens") + F.size("y.tokens") - same)).select("a", "b")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = CONTRACT) -> DataFrame:
@@ -296,9 +284,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
     groups = components(links)
 
     own_group = sized.select("id", "n").join(groups.select("id", "component"), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
-    members = common.cut(own_group.join(own_group.groupBy("grp").agg(F.count(F.lit(1)).alias("g")), "grp"))
-    grouped = rows.join(members.select("id", "grp", "g"), "id")
-    cells = grouped.groupBy("token", "grp", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("first"))
+    members = common.cut(own_group.join(own_group.groupBy("grp").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("low"), F.max("n").alias("high")), "grp"))
+    grouped = rows.join(members.select("id", "grp", "g", "low", "high"), "id")
+    cells = grouped.groupBy("token", "grp", "g", "low", "high").agg(F.min("pos").alias("first"))
     split = cells.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("g", "grp")).alias("top")).where("c > 1").select("token", F.col("top.grp").alias("top"))
     cells = common.cut(cells.join(split, "token"))  # of tokens in more than one group
     asking = grouped.join(split, "token").where("grp != top").select("token", F.col("g").alias("q_g"), F.col("grp").alias("q_grp"), F.col("id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("q_pos"))
@@ -307,9 +295,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
     high = F.least(F.col("high"), F.floor(rule.parts * F.col("qn") / rule.least))
     fits = (F.col("q_pos") <= F.col("qn") - rule.need(F.col("qn"), low)) & (F.col("first") <= F.col("high") - rule.need(F.col("qn"), F.col("high")))
     larger = (F.col("g") > F.col("q_g")) | ((F.col("g") == F.col("q_g")) & (F.col("grp") > F.col("q_grp")))
-    seen = asking.join(cells.select("token", "grp", "g", "low", "high", "first"), "token").where(larger & (low <= high)).select("q", "qn", "grp", low.alias("low"), high.alias("high"), fits.alias("fits"))
-    overlap = seen.groupBy("q", "qn", "grp").agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("fits").alias("fits"))
-    opened = common.cut(overlap.where(F.col("fits") & (F.col("shared") >= rule.least_overlap(F.col("qn"), F.col("low"), F.col("high")))).select("q", "qn", "grp"))
+    # a shared token counts one, and 2**32 more at places that a linked pair's first one may have
+    weight = F.when(fits, F.lit((1 << 32) + 1)).otherwise(F.lit(1))
+    seen = asking.join(cells.select("token", "grp", "g", "low", "high", "first"), "token").where(larger & (low <= high)).select("q", "qn", "grp", rule.least_overlap(F.col("qn"), low, high).alias("least"), weight.alias("w"))
+    overlap = seen.groupBy("q", "qn", "grp", "least").agg(F.sum("w").alias("w"))
+    opened = common.cut(overlap.where((F.shiftright("w", 32) > 0) & (F.col("w").bitwiseAND((1 << 32) - 1) >= F.col("least"))).select("q", "qn", "grp"))
     alike = rule.parts * F.least("qn", "n") >= rule.least * F.greatest("qn", "n")
     met = opened.join(members.select("grp", "id", "n"), "grp").where(alike).select(*pair(F.col("q"), F.col("id")))
     more = verified(common.cut(met.join(near, ["a", "b"], "left_anti")), sized, own, rule)
