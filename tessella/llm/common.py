@@ -16,6 +16,8 @@ from tessella.shipping import ship
 SLICE_ROWS = 512
 #: Bytes of text after which a slice ends earlier.
 SLICE_BYTES = 512 << 10
+#: Whether Spark removes the shuffle files of a query when it ends; otherwise they stay until the driver collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What Spark hands over to a worker at once: its settings, by default, and ours.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
@@ -76,9 +78,18 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage there."""
-    checkpoint_base(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder and cut its lineage there; the shuffles that made it aren't read again and go."""
+    spark = df.sparkSession
+    checkpoint_base(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a query keeps the setting it was made under
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def slices(batches: Iterator[pa.RecordBatch], sized: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
