@@ -9,6 +9,9 @@
    queries with all of the shard: while it finds too few of the true links, beams are doubled and all is searched again.
 4. Found pairs are verified by cosine in double precision. A task returns the number of links of each class and a
    spanning forest of its links, never all pairs; forests are united to components.
+5. A fixed set of a label's classes, at least ``AUDITED`` or all, and at least one in ``AUDIT_STEP``, is compared with all
+   of every shard. What was found of their verified links, over all pairs of shards, is the label's recall
+   (:func:`audits`); labels below ``RECALL`` are searched again with beams twice as wide, in the end with all of them.
 
 Defined results
 ---------------
@@ -45,6 +48,8 @@ WIDEST = 192
 BLOCK = 1024
 #: Queries of an audit, and the share of their true links that must have been found.
 AUDIT, RECALL = 128, 0.99
+#: Classes of a label in its pooled audit: at least so many, and at least one in so many.
+AUDITED, AUDIT_STEP = 1024, 100
 #: Room for single precision in the search; verification is in double.
 SLACK = 1e-4
 
@@ -156,22 +161,23 @@ class Graph:
             offer(rows, links[ids[rows, at[rows]]])
 
 
-def hits(graph: Graph, q: np.ndarray, seed: int, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs over the threshold, up to SLACK."""
-    n, least = len(graph.u), np.float32(THRESHOLD - SLACK)
-    beam = BEAM
-    rng = np.random.default_rng(seed)
+def exact(graph: Graph, q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs over the threshold, up to SLACK, of some ``rows`` of ``q``: all of them."""
+    least = np.float32(THRESHOLD - SLACK)
+    parts = []
+    for lo in range(0, len(rows), BLOCK):
+        a, b = np.nonzero(q[rows[lo : lo + BLOCK]] @ graph.u.T >= least)
+        parts.append((rows[lo + a], b))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64),) * 2
 
-    def exact(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
-        for lo in range(0, len(rows), BLOCK):
-            a, b = np.nonzero(q[rows[lo : lo + BLOCK]] @ graph.u.T >= least)
-            parts.append((rows[lo + a], b))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64),) * 2
 
+def hits(graph: Graph, q: np.ndarray, seed: int, stats: dict | None = None, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs over the threshold, up to SLACK; the first beam is ``beam`` wide."""
+    n, least = len(graph.u), np.float32(THRESHOLD - SLACK)
+    rng = np.random.default_rng(seed)
     while True:
         if beam >= min(n, WIDEST + 1):
-            return exact(np.arange(len(q)))
+            return exact(graph, q, np.arange(len(q)))
         found, wide = [], []
         for lo in range(0, len(q), BLOCK):
             ids, sims = graph.search(q[lo : lo + BLOCK], beam)
@@ -179,11 +185,11 @@ def hits(graph: Graph, q: np.ndarray, seed: int, stats: dict | None = None) -> t
             wide.append(lo + np.flatnonzero(full))
             a, k = np.nonzero((sims >= least) & ~full[:, None])
             found.append((lo + a, ids[a, k].astype(np.int64)))
-        found.append(exact(np.concatenate(wide)))
+        found.append(exact(graph, q, np.concatenate(wide)))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         some = np.unique(a)
         sample = np.unique(np.concatenate([rng.permutation(len(q))[:AUDIT], some[rng.permutation(len(some))[:AUDIT]]]))
-        x, y = exact(sample)
+        x, y = exact(graph, q, sample)
         true = set(zip(x.tolist(), y.tolist(), strict=True))
         got = true & set(zip(a.tolist(), b.tolist(), strict=True))
         if stats is not None:
@@ -224,46 +230,84 @@ def _build(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("id")
     x = np.stack([np.asarray(v, dtype=np.float64) for v in part["emb"]])
     seed = int(part["id"].iloc[0]) & 0x7FFFFFFF
-    blob = pickle.dumps((part["id"].to_numpy(np.int64), part["copies"].to_numpy(np.int64), x, Graph(x, seed)))
+    blob = pickle.dumps((part["id"].to_numpy(np.int64), part["copies"].to_numpy(np.int64), part["audited"].to_numpy(bool), x, Graph(x, seed)))
     return pd.DataFrame({"label": part["label"].iloc[:1], "dim": part["dim"].iloc[:1], "shard": part["shard"].iloc[:1], "blob": [blob]})
 
 
-FOUND = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
+def paired(i: np.ndarray, j: np.ndarray, width: int, same: bool) -> np.ndarray:
+    """Different pairs of places as one number each; within one shard a pair has no order, and no place is its own partner."""
+    if same:
+        i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+    return np.unique(i * width + j)
+
+
+#: Links of a class (``n``), an edge of the forest (``other``), or an audit (``id`` is null): links found of ``n`` true ones.
+FOUND = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("got", pa.int64())])
+FOUND_DDL = "label string, dim int, id long, other long, n long, got long"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            a, b = batch.column("a")[k].as_py(), batch.column("b")[k].as_py()
-            ids, copies, x, graph = pickle.loads(batch.column("x")[k].as_py())
+            label, dim, beam, a, b = (batch.column(c)[k].as_py() for c in ("label", "dim", "beam", "a", "b"))
+            ids, copies, audited, x, graph = pickle.loads(batch.column("x")[k].as_py())
             u = unit(x)
             if a == b:
-                i, j = hits(graph, graph.u, a)
-                i, j = np.minimum(i, j), np.maximum(i, j)
-                keys = np.unique((i * len(x) + j)[i != j])
-                i, j = keys // len(x), keys % len(x)
-                ok = verified(u, u, i, j)
-                other_ids, other_copies = ids, copies
+                other_ids, other_copies, v, width = ids, copies, u, len(x)
+                keys = paired(*hits(graph, graph.u, a, beam=beam), width, True)
+                true = paired(*exact(graph, graph.u, np.flatnonzero(audited)), width, True)
             else:
-                other_ids, other_copies, y, other = pickle.loads(batch.column("y")[k].as_py())
-                i, j = hits(other, graph.u, a)
-                q, p = hits(graph, other.u, b)
-                keys = np.unique(np.concatenate([i * len(y) + j, p * len(y) + q]))
-                i, j = keys // len(y), keys % len(y)
-                ok = verified(u, unit(y), i, j)
-            i, j = i[ok], j[ok]
+                other_ids, other_copies, other_audited, y, other = pickle.loads(batch.column("y")[k].as_py())
+                v, width = unit(y), len(y)
+                i, j = hits(other, graph.u, a, beam=beam)
+                q, p = hits(graph, other.u, b, beam=beam)
+                keys = paired(np.concatenate([i, p]), np.concatenate([j, q]), width, False)
+                i, j = exact(other, graph.u, np.flatnonzero(audited))
+                q, p = exact(graph, other.u, np.flatnonzero(other_audited))
+                true = paired(np.concatenate([i, p]), np.concatenate([j, q]), width, False)
+            keys = keys[verified(u, v, keys // width, keys % width)]
+            true = true[verified(u, v, true // width, true % width)]
+            got = int(np.isin(true, keys, assume_unique=True).sum())
+            i, j = keys // width, keys % width
             n_i = np.bincount(i, other_copies[j], len(ids)).astype(np.int64)
             n_j = np.bincount(j, copies[i], len(other_ids)).astype(np.int64)
             edges = forest(ids[i], other_ids[j])
             some_i, some_j = np.flatnonzero(n_i), np.flatnonzero(n_j)
-            left = [*ids[some_i].tolist(), *other_ids[some_j].tolist(), *(e[0] for e in edges)]
-            right = [None] * (len(some_i) + len(some_j)) + [e[1] for e in edges]
-            count = [*n_i[some_i].tolist(), *n_j[some_j].tolist()] + [0] * len(edges)
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in (left, right, count)], schema=FOUND)
+            left = [None, *ids[some_i].tolist(), *other_ids[some_j].tolist(), *(e[0] for e in edges)]
+            right = [None] * (1 + len(some_i) + len(some_j)) + [e[1] for e in edges]
+            count = [len(true), *n_i[some_i].tolist(), *n_j[some_j].tolist()] + [0] * len(edges)
+            more = [None] * (len(left) - 1)
+            columns = ([label] * len(left), [dim] * len(left), left, right, count, [got, *more])
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
 
-def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", shard_rows: int | None = None) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row."""
+def searched(graphs: DataFrame, compare=_compare) -> tuple[DataFrame, DataFrame]:
+    """FOUND's rows of every pair of a label's shards but audits, and (label, dim, beam, got, n) of the pooled audits.
+
+    Labels whose audit fails are searched again, alone; of a label only the last search counts."""
+    own, found, audits, beam = graphs, None, None, BEAM
+    while True:
+        meta = own.select("label", "dim", F.col("shard").alias("a"))
+        pairs = meta.join(meta.withColumnRenamed("a", "b"), ["label", "dim"]).where("a <= b")
+        first = pairs.join(own.select("label", "dim", F.col("shard").alias("a"), F.col("blob").alias("x")), ["label", "dim", "a"])
+        second = first.join(own.select("label", "dim", F.col("shard").alias("b"), F.col("blob").alias("y")), ["label", "dim", "b"])
+        asked = second.select("label", "dim", F.lit(beam).alias("beam"), "a", "b", "x", F.when(F.col("a") != F.col("b"), F.col("y")).alias("y"))
+        now = common.cut(asked.mapInArrow(compare, FOUND_DDL))
+        audit = common.cut(now.where("id is null").groupBy("label", "dim").agg(F.lit(beam).alias("beam"), F.sum("got").alias("got"), F.sum("n").alias("n")))
+        now, poor = now.where("id is not null"), audit.where(F.col("got") < RECALL * F.col("n")).select("label", "dim")
+        done = poor.isEmpty()
+        if not done:
+            now, audit = now.join(poor, ["label", "dim"], "left_anti"), audit.join(poor, ["label", "dim"], "left_anti")
+            own = graphs.join(poor, ["label", "dim"], "left_semi")
+        found = now if found is None else found.unionByName(now)
+        audits = audit if audits is None else audits.unionByName(audit)
+        if done:
+            return found, audits
+        beam *= 2
+
+
+def prepared(vectors: DataFrame, key: str, embedding: str, label: str, shard_rows: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows, the classes of equal vectors, and a graph for each shard of a label."""
     common.ready(vectors)
     emb = F.col(embedding).cast("array<double>")
     own = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), emb.alias("emb"))
@@ -276,12 +320,16 @@ def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     sizes = graphed.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("total"))
     rows = F.greatest(F.lit(LEAST_ROWS), F.least(F.lit(MOST_ROWS), F.floor(F.lit(SHARD_NUMBERS) / F.col("dim")))) if shard_rows is None else F.lit(shard_rows)
     dealt = graphed.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.ceil(F.col("total") / rows)).cast("int"))
-    graphs = common.cut(dealt.select("label", "dim", "shard", "id", "copies", "emb").groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shard int, blob binary"))
-    meta = graphs.select("label", "dim", F.col("shard").alias("a"))
-    pairs = meta.join(meta.withColumnRenamed("a", "b"), ["label", "dim"]).where("a <= b")
-    first = pairs.join(graphs.select("label", "dim", F.col("shard").alias("a"), F.col("blob").alias("x")), ["label", "dim", "a"])
-    second = first.join(graphs.select("label", "dim", F.col("shard").alias("b"), F.col("blob").alias("y")), ["label", "dim", "b"])
-    found = common.cut(second.select("a", "b", "x", F.when(F.col("a") != F.col("b"), F.col("y")).alias("y")).mapInArrow(_compare, "id long, other long, n long"))
+    step = F.greatest(F.lit(1), F.least(F.lit(AUDIT_STEP), F.floor(F.col("total") / AUDITED)))
+    dealt = dealt.withColumn("audited", F.pmod(F.xxhash64(F.lit("audit"), "id"), step) == 0)
+    graphs = common.cut(dealt.select("label", "dim", "shard", "id", "copies", "emb", "audited").groupBy("label", "dim", "shard").applyInPandas(_build, "label string, dim int, shard int, blob binary"))
+    return own, classes, graphs
+
+
+def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", shard_rows: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row."""
+    own, classes, graphs = prepared(vectors, key, embedding, label, shard_rows)
+    found, _ = searched(graphs)
     degree = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = classes.select("label", "h1", "h2", "id", "copies").join(degree, "id", "left").join(groups, "id", "left")
@@ -291,6 +339,11 @@ def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
+def audits(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", shard_rows: int | None = None) -> DataFrame:
+    """(label, dim, beam, got, n) of each label's last search: links found of the ``n`` true ones of its audited classes."""
+    return searched(prepared(vectors, key, embedding, label, shard_rows)[2])[1]
+
+
 #: DuckDB SQL for dedup(embeddings): all pairs.
 ORACLE = f"""
 WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

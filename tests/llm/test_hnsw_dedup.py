@@ -72,3 +72,44 @@ def test_rows_without_a_key(spark):
     df = spark.createDataFrame([(None, v, 1), (None, v, 1), (3, v, 1), (4, v, 1)], "vec_id long, embedding array<float>, label int")
     got = sorted((tuple(r) for r in hd.dedup(df).collect()), key=str)
     assert got == sorted([(None, 0, None, True), (None, 0, None, True), (3, 1, 3, True), (4, 1, 3, False)], key=str)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_pooled_audit_counts_the_links_of_all_shards(spark):
+    rows = list({(tuple(v), y): (k, v, y) for k, v, y in rows_of(300, 16, seed=8)}.values())  # audits are by different vectors
+    links = brute(rows)
+    got = {r.label: (r.beam, r.got, r.n) for r in hd.audits(frame(spark, rows), shard_rows=40).collect()}
+    for label in (0, 1):  # labels this small are audited whole
+        n = sum(links[k][0] for k, _, own in rows if own == label) // 2
+        assert n > 0 and got[str(label)] == (hd.BEAM, n, n)
+
+
+def test_labels_that_fail_the_audit_are_searched_again(spark):
+    rows = rows_of(300, 16, seed=8)
+    _, _, graphs = hd.prepared(frame(spark, rows), "vec_id", "embedding", "label", 40)
+
+    def loses_label_1(batches, first=hd.BEAM):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        from tessella.llm import hnsw_dedup
+
+        for batch in batches:
+            beam = batch.column("beam")[0].as_py() if batch.num_rows else 0
+            for out in hnsw_dedup._compare(iter([batch])):
+                if beam == first and out.column("label")[0].as_py() == "1":
+                    out = out.filter(pc.is_null(out.column("id")))  # the audit stays, and says that nothing was found
+                    out = out.set_column(5, "got", pa.array([0] * out.num_rows, pa.int64()))
+                yield out
+
+    found, audits = hd.searched(graphs, loses_label_1)
+    assert {r.label: r.beam for r in audits.collect()} == {"0": hd.BEAM, "1": 2 * hd.BEAM}
+    whole, _ = hd.searched(graphs)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_empty_audit(spark):
+    assert hd.audits(frame(spark, [])).collect() == []
