@@ -63,27 +63,33 @@ def median_cut(colors: np.ndarray, target: int, in_place: bool) -> np.ndarray:
     """Means of at most ``target`` boxes of distinct colours (n, 3) in first-seen order, in list order."""
     if not len(colors):
         return np.zeros((0, 3), dtype=np.int64)
+    spans = lambda part: (part.max(axis=0) - part.min(axis=0)).tolist()
+    width = lambda part, span: max(span) if len(part) > 1 else -1
     boxes = [colors.astype(np.int64)]
-    widths = [int(np.ptp(boxes[0], axis=0).max()) if len(colors) > 1 else -1]
+    ranges = [spans(boxes[0])]
+    widths = [width(boxes[0], ranges[0])]
     while len(boxes) < target:
-        k = int(np.argmax(widths))
-        if widths[k] < 0:
+        widest = max(widths)
+        if widest < 0:
             break
+        k = widths.index(widest)
         own = boxes[k]
-        channel = int(np.argmax(np.ptp(own, axis=0)))
-        rgb = own[:, 0] << 16 | own[:, 1] << 8 | own[:, 2]
-        order = np.lexsort((rgb, own[:, channel])) if in_place else np.argsort(own[:, channel], kind="stable")
+        by = own[:, ranges[k].index(widest)]
+        order = np.lexsort((own[:, 0] << 16 | own[:, 1] << 8 | own[:, 2], by)) if in_place else by.argsort(kind="stable")
         half = len(own) // 2
-        parts = own[order[:half]], own[order[half:]]
-        spans = [int(np.ptp(p, axis=0).max()) if len(p) > 1 else -1 for p in parts]
+        parts = [own[order[:half]], own[order[half:]]]
+        found = [spans(p) for p in parts]
+        wide = [width(p, f) for p, f in zip(parts, found, strict=True)]
         if in_place:
-            boxes[k], widths[k] = parts[0], spans[0]
+            boxes[k], ranges[k], widths[k] = parts[0], found[0], wide[0]
             boxes.append(parts[1])
-            widths.append(spans[1])
+            ranges.append(found[1])
+            widths.append(wide[1])
         else:
-            del boxes[k], widths[k]
+            del boxes[k], ranges[k], widths[k]
             boxes += parts
-            widths += spans
+            ranges += found
+            widths += wide
     return np.array([b.sum(axis=0) // len(b) for b in boxes])
 
 

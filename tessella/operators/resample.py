@@ -1,4 +1,4 @@
-"""Nearest-neighbour resampling: a target pixel reads the source pixel under its centre, so it is a join on coordinates."""
+"""Nearest-neighbour resampling: a target pixel reads the source pixel under its centre; source pixels go where they are read."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CANVAS = (640, 480)
+#: Keys that an image's rows are dealt over.
+SLOTS = 16
 
 
 def contain_scale(w: Column, h: Column, to: tuple[int, int]) -> Column:
@@ -35,14 +37,27 @@ def targets(images: DataFrame, to: tuple[int, int] = CANVAS, cover: bool = False
     return own.select("img", "w", "h", "tw", "th", F.expr(f"int(({to[0]} - tw) div 2)").alias("dx"), F.expr(f"int(({to[1]} - th) div 2)").alias("dy"))
 
 
+def targets_of(at: Column, source: Column, target: Column, start: Column, side: int) -> Column:
+    """The target coordinates on a canvas of that side whose pixel reads the source coordinate ``at``; null if there are none.
+
+    A step more than the exact range either way, then those that :func:`source_of` sends to ``at``."""
+    near = lambda k: F.floor(k * target / source).cast("int")
+    lo = F.greatest(near(at) - 1, F.lit(0), -start)
+    hi = F.least(near(at + 1) + 1, target - 1, F.lit(side - 1) - start)
+    return F.when(lo <= hi, F.filter(F.sequence(lo, hi), lambda k: source_of(k, source, target) == at))
+
+
 def resized(pixels: DataFrame, images: DataFrame, to: tuple[int, int] = CANVAS, cover: bool = False) -> DataFrame:
-    """Pixels (img, x, y, v) of the resized image on canvas coordinates, cut to the canvas. Pixels are joined on (img, x, y)."""
-    t = targets(images, to, cover)
-    lo = lambda d: F.greatest(F.lit(0), -F.col(d))
-    hi = lambda d, side, n: F.least(F.col(n), F.lit(side) - F.col(d)) - 1
-    g = t.select("*", F.explode(F.sequence(lo("dx"), hi("dx", to[0], "tw"))).alias("tx")).select("*", F.explode(F.sequence(lo("dy"), hi("dy", to[1], "th"))).alias("ty"))
-    g = g.select("img", (F.col("tx") + F.col("dx")).alias("cx"), (F.col("ty") + F.col("dy")).alias("cy"), source_of(F.col("tx"), F.col("w"), F.col("tw")).alias("x"), source_of(F.col("ty"), F.col("h"), F.col("th")).alias("y"))
-    return g.join(pixels, ["img", "x", "y"]).select("img", F.col("cx").alias("x"), F.col("cy").alias("y"), "v")
+    """Pixels (img, x, y, v) of the resized image on canvas coordinates, cut to the canvas.
+
+    Each source pixel names its targets, so pixels meet only their image's row. Rows that are made by explode count as nothing
+    in Spark's sizes: a grid of targets, or exploded pixels, might go to the driver whole. So the join is one by sorting, and a
+    large image's rows of pixels are dealt over SLOTS keys."""
+    t = targets(images, to, cover).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    own = pixels.withColumn("slot", F.pmod("y", F.lit(SLOTS))).hint("merge").join(t, ["img", "slot"])
+    own = own.select("*", F.explode(targets_of(F.col("x"), F.col("w"), F.col("tw"), F.col("dx"), to[0])).alias("tx"))
+    own = own.select("*", F.explode(targets_of(F.col("y"), F.col("h"), F.col("th"), F.col("dy"), to[1])).alias("ty"))
+    return own.select("img", (F.col("tx") + F.col("dx")).alias("x"), (F.col("ty") + F.col("dy")).alias("y"), "v")
 
 
 def on_canvas(pixels: DataFrame, images: DataFrame, to: tuple[int, int] = CANVAS, empty: int = 255) -> DataFrame:

@@ -1,7 +1,8 @@
 """From pixels to files: the two conversions as one plan each.
 
 Pixels are rows (path, x, y, argb), for views with loop and cel too. Colours are quantised and looked up once per distinct
-colour and image; pixels are only joined, packed and written.
+colour and image. A picture, at most a canvas of pixels, is made in one call; pixels of views are only joined, packed and
+written.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.codec import picture
+from tessella.codec.errors import need
 from tessella.functions import binary, color
 from tessella.operators import lookup, quantize, resample
 from tessella.shipping import ship
@@ -24,15 +27,25 @@ def _with_rgb(pixels: DataFrame) -> DataFrame:
     return pixels.select("*", F.col("argb").bitwiseAND(0xFFFFFF).alias("rgb"), r.alias("r"), g.alias("g"), b.alias("b"))
 
 
+def _table(colors: np.ndarray, form: str, merge_radius: int | None) -> np.ndarray:
+    """The 256 entries for distinct colours (n, 3) in first-seen order."""
+    table = (quantize.picture_palette if form == "picture" else quantize.view_palette)(colors)
+    return table if merge_radius is None else np.array(quantize.merge_near([tuple(c) for c in table], radius=merge_radius))
+
+
+def _closest(colors: np.ndarray, table: np.ndarray, slice_: int = 4096) -> np.ndarray:
+    """For each of ``colors`` (n, 3) the nearest of the first 255 entries; of equals the lowest."""
+    own = table[: lookup.MATCHED].astype(np.int64)
+    parts = [((colors[k : k + slice_, None] - own) ** 2).sum(axis=2).argmin(axis=1) for k in range(0, len(colors), slice_)]
+    return np.concatenate(parts).astype(np.uint8)
+
+
 def _palettes(colors: DataFrame, form: str, merge_radius: int | None) -> DataFrame:
     """(path, palette, rgb as hex) of distinct colours (path, r, g, b, ord); a group is one image's colours."""
     ship(colors.sparkSession)
 
     def of(part: pd.DataFrame) -> pd.DataFrame:
-        own = part.sort_values("ord")[list(_RGB)].to_numpy()
-        table = (quantize.picture_palette if form == "picture" else quantize.view_palette)(own)
-        if merge_radius is not None:
-            table = np.array(quantize.merge_near([tuple(c) for c in table], radius=merge_radius))
+        table = _table(part.sort_values("ord")[list(_RGB)].to_numpy(), form, merge_radius)
         return pd.DataFrame({"path": part["path"].iloc[:1], "table": [bytes(table.astype(np.uint8).tobytes())]})
 
     return colors.groupBy("path").applyInPandas(of, "path string, table binary")
@@ -66,15 +79,23 @@ def _packed(order: Column) -> Column:
 def pictures_from_pixels(pixels: DataFrame, merge_radius: int | None = None, to: tuple[int, int] = resample.CANVAS, cover: bool = False) -> DataFrame:
     """(path, content) of picture files: resized into the canvas, quantised, looked up, centred; alpha is ignored."""
     images = pixels.groupBy("path").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h")).withColumnRenamed("path", "img")
-    small = resample.resized(pixels.select(F.col("path").alias("img"), "x", "y", F.col("argb").alias("v")), images, to, cover)
-    own = _with_rgb(small.select(F.col("img").alias("path"), "x", "y", F.col("v").alias("argb")))
-    colors = own.groupBy("path", "rgb", *_RGB).agg(F.min(F.col("y") * to[0] + F.col("x")).alias("ord"))
-    tables = _palettes(colors, "picture", merge_radius)
-    indexed = own.join(_nearest(colors, tables), ["path", "rgb"]).select(F.col("path").alias("img"), "x", "y", F.col("idx").alias("v"))
-    canvas = resample.on_canvas(indexed, images, to).groupBy("img").agg(_packed(F.col("y") * to[0] + F.col("x")).alias("pixels"))
-    table = F.transform(F.sequence(F.lit(0), F.lit(254)), lambda i: F.struct(*[binary.u8(F.col("table"), i * 3 + k).alias(c) for k, c in enumerate(_RGB)]))
-    made = canvas.withColumnRenamed("img", "path").join(tables, "path")
-    return build.picture_files(made.select("path", "pixels", table.alias("palette"), F.lit(to[0]).alias("width"), F.lit(to[1]).alias("height")))
+    small = resample.resized(pixels.select(F.col("path").alias("img"), "x", "y", F.col("argb").bitwiseAND(0xFFFFFF).alias("v")), images, to, cover)
+    own = small.select(F.col("img").alias("path"), (F.col("y") * to[0] + F.col("x")).alias("pos"), F.col("v").alias("rgb"))
+    ship(pixels.sparkSession)
+
+    def of(part: pd.DataFrame) -> pd.DataFrame:
+        at, rgb = part["pos"].to_numpy(), part["rgb"].to_numpy()
+        need(len(np.unique(at)) == len(at), "pixels repeat")
+        colors, first, place = np.unique(rgb[np.argsort(at)], return_index=True, return_inverse=True)
+        channels = np.stack([colors >> 16, colors >> 8 & 255, colors & 255], axis=1).astype(np.int64)
+        table = _table(channels[np.argsort(first)], "picture", merge_radius)
+        canvas = np.full(to[0] * to[1], picture.TRANSPARENT, dtype=np.uint8)
+        canvas[np.sort(at)] = _closest(channels, table)[place]
+        return pd.DataFrame({"path": part["path"].iloc[:1], "content": [picture.write(canvas.tobytes(), table.tolist(), *to)]})
+
+    # a few megabytes of small pictures are minutes of Python: partitions are not joined by their size
+    parts = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.repartition(parts, "path").groupBy("path").applyInPandas(of, "path string, content binary")
 
 
 def views_from_pixels(pixels: DataFrame, mirrors: DataFrame | None = None, **options) -> DataFrame:

@@ -12,7 +12,8 @@ _RGB = "CAST(l_partkey % 256 AS INT) AS r, CAST(l_suppkey * 7 % 256 AS INT) AS g
 PX_UNORDERED = f"SELECT CAST(l_suppkey % 8 AS INT) AS img, {_RGB} FROM lineitem"
 PX = f"SELECT CAST(l_suppkey % 8 AS INT) AS img, CAST(row_number() OVER (PARTITION BY l_suppkey % 8 ORDER BY {SCAN}) - 1 AS INT) AS pos, {_RGB} FROM lineitem"
 _PAL = "SELECT CAST(i.idx AS INT) AS idx, coalesce(CAST(p_partkey * 37 % 256 AS INT), 0) AS r, coalesce(CAST(p_partkey * 91 % 256 AS INT), 0) AS g, coalesce(CAST(p_partkey * 53 % 256 AS INT), 0) AS b, 0 AS meta FROM (SELECT {0} AS idx FROM range(256)) i LEFT JOIN part ON p_partkey = i.idx"
-PALETTE, PALETTE_DUCK = _PAL.format("id"), _PAL.format("range")
+#: Other parts match nothing: they are left out before the join, whose right side Spark may send to the driver whole.
+PALETTE, PALETTE_DUCK = _PAL.format("id") + " AND p_partkey BETWEEN 0 AND 255", _PAL.format("range")
 ROWS = "SELECT user_id AS img, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS x, CAST(CASE event_type WHEN 'error' THEN 255 ELSE length(event_type) END AS INT) AS v FROM events"
 LOOPS = "SELECT CAST(0 AS INT) AS view, n_nationkey AS lp, CASE WHEN n_nationkey % 3 = 1 THEN 'mirror' ELSE 'image' END AS kind, CASE WHEN n_nationkey % 3 = 1 THEN n_nationkey - 1 END AS mirror_of, CASE WHEN n_nationkey % 3 = 1 THEN 0 ELSE 1 + n_regionkey END AS n_cels FROM nation"
 EMB = "SELECT vec_id AS img, pos AS x, CAST(least(254, greatest(0, floor((CAST(e AS DOUBLE) + 1D) * 127.5D))) AS INT) AS v FROM embeddings LATERAL VIEW posexplode(embedding) AS pos, e WHERE pos < 64"

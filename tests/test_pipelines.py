@@ -82,3 +82,40 @@ def test_image_structs(spark):
     got = build.image_structs(px).select("image.*").first()
     assert (got.width, got.height, got.nChannels, got.mode, bytes(got.data)) == (2, 1, 4, 24, bytes((3, 2, 1, 255, 6, 5, 4, 0)))
     assert px.agg(F.count("*")).first()[0] == 2
+
+
+def broadcast_grids(df):
+    """Lines of the plan as it ran that make rows between a broadcast and the shuffle below it."""
+    found, below = [], None
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-*("))
+        if below is not None and (depth <= below or "ShuffleQueryStage" in line):
+            below = None
+        if "BroadcastExchange" in line:
+            below = depth
+        elif below is not None and "Generate " in line:
+            found.append(line)
+    return found
+
+
+def many_small(spark):
+    return spark.range(400).selectExpr("cast(id as string) as path", "explode(sequence(0, 3)) as k", "id").selectExpr("path", "cast(k % 2 as int) as x", "cast(k div 2 as int) as y", "cast(id * 7 + k as int) as argb")
+
+
+def test_no_grid_of_pictures_is_broadcast(spark):
+    made = pipelines.pictures_from_pixels(many_small(spark), to=(6, 4))
+    got = {r.path: picture.read(bytes(r.content)) for r in made.collect()}
+    assert len(got) == 400 and broadcast_grids(made) == []
+    for k in (0, 399):
+        p = got[str(k)]
+        at = {(x, y): p.pixels[6 * y + x] for y in range(4) for x in range(6)}
+        assert {q for q, v in at.items() if v != 255} == {(2, 1), (3, 1), (2, 2), (3, 2)}
+        assert [p.palette[at[q]][2] for q in ((2, 1), (3, 1), (2, 2), (3, 2))] == [(k * 7 + i) % 256 for i in range(4)]
+
+
+def test_palette_reads_only_its_own_parts_into_the_driver(spark):
+    from tessella.plans import views
+
+    plan = views.palette(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(p_partkey,255)" in plan
