@@ -10,9 +10,12 @@ each (their prefixes, under one global order); how deep depends on both sizes.
    against the leaders of its tokens, and those that link are one group. A group of any size costs its members, not pairs.
 4. The token-group matrix holds, for each token and group, the union of its members' prefixes with the bounds of their
    sizes and places. A document asks for all its tokens in groups larger than its own (of equal ones, those of a larger
-   number), and its overlap with a group's union is counted before the group is looked into. Linked sets have a least
-   number of tokens in common in their prefixes, so a group whose union holds fewer is not opened. Members of the
-   qualifying groups are verified.
+   number). The first token that linked sets share has a place of its own: it is among the leading tokens of the smaller
+   set, about the first half of its prefix, and early enough in both for their sizes. Only such meetings make rows, so copies
+   of one text that differ by a little too much, and share no token but later ones, do not meet in pairs.
+   Then the overlap with a group's union is counted before the group is looked into. Linked sets have a least number of
+   tokens in common in their prefixes, so a group whose union holds fewer is not opened. Members of the qualifying groups
+   are verified.
 5. Links of both rounds are united to components.
 
 Verification first counts what the prefixes have in common, which rules out chance meetings, then the sets' common
@@ -63,6 +66,10 @@ class Rule(NamedTuple):
         """Whether sets of sizes n and m that share a token at places i and j may reach the threshold by what that tells."""
         return (self.parts * F.least(n, m) >= self.least * F.greatest(n, m)) & (i <= n - self.need(n, m)) & (j <= m - self.need(n, m))
 
+    def leads(self, n: Column, i: Column) -> Column:
+        """Whether place i of n is one that the first token shared with a linked set of as many tokens or more may have."""
+        return i <= n - self.need(n, n)
+
     def shared_in_prefixes(self, n: Column, m: Column) -> Column:
         """Tokens that the prefixes of linked sets of these sizes have in common at least: those the rest of either can't hold."""
         size = lambda k: k - F.ceil(self.least * k / self.parts) + 1
@@ -286,20 +293,21 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule =
     own_group = sized.select("id", "n").join(groups.select("id", "component"), "id", "left").withColumn("grp", F.coalesce("component", "id")).drop("component")
     members = common.cut(own_group.join(own_group.groupBy("grp").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("low"), F.max("n").alias("high")), "grp"))
     grouped = rows.join(members.select("id", "grp", "g", "low", "high"), "id")
-    cells = grouped.groupBy("token", "grp", "g", "low", "high").agg(F.min("pos").alias("first"))
+    cells = grouped.groupBy("token", "grp", "g", "low", "high").agg(F.min("pos").alias("first"), F.max(rule.leads(F.col("n"), F.col("pos"))).alias("leads"))
     split = cells.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("g", "grp")).alias("top")).where("c > 1").select("token", F.col("top.grp").alias("top"))
     cells = common.cut(cells.join(split, "token"))  # of tokens in more than one group
-    asking = grouped.join(split, "token").where("grp != top").select("token", F.col("g").alias("q_g"), F.col("grp").alias("q_grp"), F.col("id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("q_pos"))
+    asking = common.cut(grouped.join(split, "token").where("grp != top").select("token", F.col("g").alias("q_g"), F.col("grp").alias("q_grp"), F.col("id").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("q_pos"), rule.leads(F.col("n"), F.col("pos")).alias("q_leads")))
     # the sizes of partners that the group may hold; the smallest asks for least
     low = F.greatest(F.col("low"), F.ceil(rule.least * F.col("qn") / rule.parts))
     high = F.least(F.col("high"), F.floor(rule.parts * F.col("qn") / rule.least))
     fits = (F.col("q_pos") <= F.col("qn") - rule.need(F.col("qn"), low)) & (F.col("first") <= F.col("high") - rule.need(F.col("qn"), F.col("high")))
     larger = (F.col("g") > F.col("q_g")) | ((F.col("g") == F.col("q_g")) & (F.col("grp") > F.col("q_grp")))
-    # a shared token counts one, and 2**32 more at places that a linked pair's first one may have
-    weight = F.when(fits, F.lit((1 << 32) + 1)).otherwise(F.lit(1))
-    seen = asking.join(cells.select("token", "grp", "g", "low", "high", "first"), "token").where(larger & (low <= high)).select("q", "qn", "grp", rule.least_overlap(F.col("qn"), low, high).alias("least"), weight.alias("w"))
-    overlap = seen.groupBy("q", "qn", "grp", "least").agg(F.sum("w").alias("w"))
-    opened = common.cut(overlap.where((F.shiftright("w", 32) > 0) & (F.col("w").bitwiseAND((1 << 32) - 1) >= F.col("least"))).select("q", "qn", "grp"))
+    # the first token that a linked pair shares is among the leading ones of the smaller set, and fits; other meetings make no row
+    may = larger & (low <= high) & fits
+    meets = lambda q, c: q.join(c, (q["token"] == c["token"]) & may).select("q", "qn", "grp", rule.least_overlap(F.col("qn"), low, high).alias("least"))
+    hopeful = common.cut(meets(asking.where("q_leads"), cells).unionByName(meets(asking.where("not q_leads"), cells.where("leads"))).distinct())
+    shared = hopeful.join(asking.select("q", "token"), "q").join(cells.select("token", "grp"), ["token", "grp"])
+    opened = common.cut(shared.groupBy("q", "qn", "grp", "least").agg(F.count(F.lit(1)).alias("c")).where("c >= least").select("q", "qn", "grp"))
     alike = rule.parts * F.least("qn", "n") >= rule.least * F.greatest("qn", "n")
     met = opened.join(members.select("grp", "id", "n"), "grp").where(alike).select(*pair(F.col("q"), F.col("id")))
     more = verified(common.cut(met.join(near, ["a", "b"], "left_anti")), sized, own, rule)

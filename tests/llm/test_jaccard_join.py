@@ -151,3 +151,24 @@ def test_levels_keep_the_order():
 def test_keep_one_beside_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e", 7, 8, 9, 0), (2, "A b c d e", 7, 8, 9, 0)], "doc_id long, text string, __id int, __null int, __key_ int, component long")
     assert [tuple(r) for r in jj.keep_one(docs).collect()] == [(1, "a b c d e", 7, 8, 9, 0)]
+
+
+def test_a_family_below_the_threshold_does_not_meet_in_pairs(spark, monkeypatch):
+    rng = random.Random(10)
+    base, rows = [f"b{i}" for i in range(150)], []
+    for k in range(300):  # four changes each: two of them mostly share less than nine tenths
+        own = list(base)
+        for j in rng.sample(range(3, 147, 4), 4):
+            own[j] = f"x{k}_{j}"
+        rows.append((k, " ".join(own)))
+    met, cut = [], jj.common.cut
+
+    def counted(df):
+        made = cut(df)
+        if made.columns == ["q", "qn", "grp", "least"]:
+            met.append(made.count())
+        return made
+
+    monkeypatch.setattr(jj.common, "cut", counted)
+    assert len(set(check(spark, rows).values())) > 250
+    assert len(met) == 1 and met[0] < 1000
