@@ -119,3 +119,10 @@ def test_palette_reads_only_its_own_parts_into_the_driver(spark):
 
     plan = views.palette(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(p_partkey,255)" in plan
+
+
+def test_no_grid_of_covering_pictures_is_broadcast(spark):
+    made = pipelines.pictures_from_pixels(many_small(spark), to=(6, 4), cover=True)
+    got = {r.path: picture.read(bytes(r.content)) for r in made.collect()}
+    assert len(got) == 400 and broadcast_grids(made) == []
+    assert all(255 not in p.pixels for p in got.values())
