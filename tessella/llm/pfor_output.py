@@ -25,11 +25,11 @@ read, and removed when the job is done. Readers check every document's checksum.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +48,15 @@ END_ID = 1
 CACHE = 600_000
 #: Letter runs encoded in one call.
 CALL = 500
+#: Bytes of text whose words are looked up together: each different one once.
+TOGETHER = 2 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Marks between a plain letter and white space: the tokenizer splits them from the letters.
-MARKS = re.compile(rb"([.,!?;:&*#$%](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:&*#$%]*)(?=[ \t\n\r\x0b\x0c]|\Z)")
+MARKS = b".,!?;:&*#$%"
+#: Classes of bytes: marks, plain letters of one byte, second bytes of plain letters that begin with LEAD.
+MARK, LETTER, SECOND, LEAD = 1, 2, 3, 0xC3
+CLASS = np.zeros(256, dtype=np.uint8)
+CLASS[list(MARKS)], CLASS[97:123] = MARK, LETTER
+CLASS[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = SECOND
 
 #: Rows of one key are dealt out by so many first characters of their texts, and equal ones to so many places.
 START, APART = 64, 256
@@ -138,11 +144,12 @@ def decode_blocks(data: bytes | memoryview) -> np.ndarray:
         own = np.flatnonzero(widths == w)
         rows = np.stack([np.frombuffer(view[heads[k][4] : heads[k][5]], dtype="<u8") for k in own])
         grid[own] = unpack(rows, int(w))
-    for k, (_, _, low, over, _, tail) in enumerate(heads):
-        if over:
-            grid[k, np.frombuffer(view[tail : tail + 2 * over], dtype="<u2")] = np.frombuffer(view[tail + 2 * over : tail + 6 * over], dtype="<u4")
-        grid[k] += np.uint32(low)
-    return grid.reshape(-1)[: (len(heads) - 1) * BLOCK + heads[-1][0]] if all(h[0] == BLOCK for h in heads[:-1]) else np.concatenate([g[: h[0]] for g, h in zip(grid, heads, strict=True)])
+    sizes, _, lows, overs, _, tails = zip(*heads, strict=True)
+    rows = np.repeat(np.arange(len(heads)), overs)
+    places = np.frombuffer(b"".join([view[a : a + 2 * n] for a, n in zip(tails, overs, strict=True)]), dtype="<u2")
+    grid[rows, places] = np.frombuffer(b"".join([view[a + 2 * n : a + 6 * n] for a, n in zip(tails, overs, strict=True)]), dtype="<u4")
+    grid += np.array(lows, dtype=np.uint32)[:, None]
+    return grid.reshape(-1)[: (len(heads) - 1) * BLOCK + heads[-1][0]] if all(n == BLOCK for n in sizes[:-1]) else np.concatenate([g[:n] for g, n in zip(grid, sizes, strict=True)])
 
 
 # -- files
@@ -239,7 +246,10 @@ class WordEncoder:
 
     To have fewer different words, A-Z are lower-cased beforehand, as the tokenizer does (but not in texts with combining
     marks, where composing comes first, or with what may be a special token, which has but one spelling), and marks at the end of a word are parted from it, as its pre-tokens are. New
-    letter runs go to the tokenizer many to a call, parted by spaces; ids that end a pre-token tell them apart again."""
+    letter runs go to the tokenizer many to a call, parted by spaces; ids that end a pre-token tell them apart again.
+
+    Words are cut, numbered and their ids strung together in arrays; Python sees each different word of a call once. What is
+    remembered has two halves: when the newer one is full, words of the older one that were not met since go."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -251,44 +261,82 @@ class WordEncoder:
         for piece, i in vocabulary.items():
             self.ends[i] = piece.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def add(self, new: list[bytes]) -> None:
-        texts = [w.decode("utf-8") for w in new]
-        runs = [(w, t) for w, t in zip(new, texts, strict=True) if t.isalpha()]
-        others = [(w, t) for w, t in zip(new, texts, strict=True) if not t.isalpha()]
+        texts = b"\n".join(new).decode("utf-8").split("\n")
+        alone = [t.isalpha() for t in texts]
+        runs, others = list(compress(zip(new, texts, strict=True), alone)), [(w, t) for w, t, a in zip(new, texts, alone, strict=True) if not a]
         for lo in range(0, len(runs), CALL):
-            part = runs[lo : lo + CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+            words, part = zip(*runs[lo : lo + CALL], strict=True)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
             if len(stops) != len(part):  # a letter whose lower case is none, or a vocabulary without ends of words
-                others += part
+                others += runs[lo : lo + CALL]
                 continue
-            data, at = ids.tobytes(), 0
-            for (w, _), stop in zip(part, (4 * stops).tolist(), strict=True):
-                self.known[w] = data[at:stop]
-                at = stop
+            data, stops = ids.tobytes(), (4 * stops).tolist()
+            self.known.update(zip(words, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
         for lo in range(0, len(others), 4096):
             some = others[lo : lo + 4096]
             self.known.update(zip([w for w, _ in some], self.direct([t for _, t in some]), strict=True))
 
-    def words(self, text: bytes | None) -> list[bytes]:
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        """Those of ``words`` that are not known; what the older half has of them goes to the newer one."""
+        known, older = self.known, self.older
+        if older:
+            known.update([(w, older[w]) for w in words if w in older])
+        return [w for w in words if w not in known]
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of different ``words``."""
+        if len(self.known) > CACHE // 2:
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, words))
+        places = [k for k, ids in enumerate(found) if ids is None]
+        if new := self._new([words[k] for k in places]):
+            self.add(new)
+        for k in places:
+            found[k] = self.known[words[k]]
+        return found
+
+    def lower(self, text: bytes | None) -> bytes:
         if not text:
-            return []
-        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
-            text = text.translate(LOWER)
-        return MARKS.sub(rb" \1 ", text).split()
+            return b""
+        return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.translate(LOWER)
+
+    def words(self, texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, and how many lie before each text's first and in all. Marks behind a plain letter are a word."""
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pa.array([self.lower(t) for t in texts], pa.large_binary()).view(pa.large_string()))
+        n, (_, places, letters) = len(split.values), split.values.buffers()
+        if not letters:
+            return pa.array([], pa.large_binary()), np.zeros(len(texts) + 1, dtype=np.int64)
+        data, at, edges = np.frombuffer(letters, dtype=np.uint8), np.frombuffer(places, dtype=np.int64, count=n + 1), split.offsets.to_numpy()
+        own = np.flatnonzero((CLASS[data[np.maximum(at[1:], 1) - 1]] == MARK) & (at[1:] > at[:-1]))
+        first, cut = at[own], at[own + 1] - 1
+        for k in np.flatnonzero((cut > first) & (CLASS[data[cut - 1]] == MARK)).tolist():  # more than one mark
+            cut[k] = first[k] + len(data[first[k] : cut[k]].tobytes().rstrip(MARKS))
+        before = CLASS[data[cut - 1]]
+        parted = (cut > first) & ((before == LETTER) | (before == SECOND) & (cut - 1 > first) & (data[cut - 2] == LEAD))
+        own, cut = own[parted], cut[parted]
+        at = np.insert(at, own + 1, cut)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n + len(own), [None, pa.py_buffer(at), letters]), edges + np.searchsorted(own, edges)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        if new := set().union(*split).difference(known):
-            self.add(list(new))
-        return [b"".join([known[w] for w in words]) for words in split]
+        words, edges = self.words(texts)
+        words = words.dictionary_encode()
+        ids = pa.array(self.ids_of(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        del words
+        _, places, data = ids.buffers()
+        if not data:  # no words, or none with ids
+            return [b""] * len(texts)
+        cuts = np.frombuffer(places, dtype=np.int64, count=len(ids) + 1)[edges].tolist()
+        data = memoryview(data)
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -311,6 +359,21 @@ def _drop_others(folder: str, reported: set[str]) -> None:
             system.delete_file(f.path)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[bytes | None]]]:
+    """Keys and texts of slices, until there are TOGETHER bytes of text."""
+    keys, texts, size = [], [], 0
+    for batch in common.slices(batches, "text"):
+        own = batch.column("text").cast(pa.binary()).to_pylist()
+        keys += batch.column("doc_id").to_pylist()
+        texts += own
+        size += sum(len(t) + 8 for t in own if t) + 8 * len(own)
+        if size >= TOGETHER:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 MANIFEST = pa.schema([("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("low", pa.int64()), ("part", pa.int32())])
 
 
@@ -331,14 +394,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", tex
 
         writer = sink = encoder = None
         end = struct.pack("<I", END_ID)
-        for batch in common.slices(batches, "text"):
+        for keys, texts in _together(batches):
             if writer is None:
                 system, root = fs.FileSystem.from_uri(folder)
                 system.create_dir(root, recursive=True)
                 path = f"{root}/ids-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.pfr"
                 sink = system.open_output_stream(path)
                 writer, encoder = Writer(sink), encoder_of(tokenizer)
-            for k, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
+            for k, ids in zip(keys, encoder.encode(texts), strict=True):
                 writer.add(k, ids + end)
         if writer is not None:
             writer.close()

@@ -86,3 +86,24 @@ def test_one_key_is_split(spark, tmp_path):
     assert len(got) == 3000 and max(n for _, n, _ in files) < 0.5 * sum(n for _, n, _ in files)
     got.sort(key=lambda r: r.start)
     assert all(a.start + len(a.ids) // 4 == b.start for a, b in zip(got, got[1:], strict=False))
+
+
+def test_frequent_words_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(po, "CACHE", 40)
+    encoder, asked = po.WordEncoder(common.tokenizer_file("word_bpe_49k.json")), []
+    add = encoder.add
+    monkeypatch.setattr(encoder, "add", lambda new: (asked.extend(new), add(new)))
+    for k in range(30):
+        encoder.encode([f"Common, {chr(97 + k % 26) * 3}{'xyz'[k % 3]}{'q' * j} COMMON".encode() for j in range(5)])
+    assert asked.count(b"common") == 1 and len(encoder.known) + len(encoder.older) <= 60
+
+
+def test_cut_words_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = common.tokenizer_file("word_bpe_49k.json")
+    t, encoder = Tokenizer.from_file(path), po.WordEncoder(path)
+    texts = ["a", ".b", "", None, " \n", "word", "...", "x.,!", "É,", "×,", "÷. ÿ. ÷a.", "don't.", "3.", "a.b.,", "'s.", "<|endoftext|>.", "<|ENDOFTEXT|>,", "  lead", "trail \t", "é", ",", "." * 3000, "z" + "!" * 3000, "́.", "Ω."]
+    want = [struct.pack(f"<{len(ids := t.encode(x or '', add_special_tokens=False).ids)}I", *ids) for x in texts]
+    assert encoder.encode([x if x is None else x.encode() for x in texts]) == want
+    assert encoder.encode([None, b"", b" \t"]) == [b"", b"", b""] and encoder.encode([]) == []
