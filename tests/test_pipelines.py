@@ -126,3 +126,26 @@ def test_no_grid_of_covering_pictures_is_broadcast(spark):
     got = {r.path: picture.read(bytes(r.content)) for r in made.collect()}
     assert len(got) == 400 and broadcast_grids(made) == []
     assert all(255 not in p.pixels for p in got.values())
+
+
+def below_broadcasts(df):
+    """Lines below a broadcast of the plan as it ran, shuffles between them or not."""
+    found, below = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*("))
+        if below is not None and depth <= below:
+            below = None
+        if below is not None:
+            found.append(line)
+        elif "BroadcastExchange" in line:
+            below = depth
+    return found
+
+
+def test_cover_query_broadcasts_only_its_palette(spark):
+    from tessella.plans import catalog
+
+    made = catalog.picture_from_pixels_cover(spark, "/root/testdata/sf0.001")
+    assert len(made.collect()) == 64 * spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    below = below_broadcasts(made)
+    assert any("Range (0, 256" in line for line in below) and not any("Generate " in line or "vec_id" in line for line in below)
